@@ -41,11 +41,16 @@ def index_tokens(text: Column) -> Column:
 
 
 def shingles(tokens: Column, n: int) -> Column:
-    """Windows of ``n`` lower-cased tokens joined by blanks, in order. A shorter, non-empty stream is one window; an empty one has none."""
+    """Windows of ``n`` lower-cased tokens joined by blanks, in order. A shorter, non-empty stream is one window; an empty one has none.
+
+    Shifted copies are zipped, so no lambda captures the token expression: it would be evaluated anew for every window."""
     low = F.transform(tokens, lambda x: F.lower(x))
     size = F.size(tokens)
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(low, i, F.lit(n)), " "))
-    return F.when(size == 0, F.array().cast("array<string>")).otherwise(windows)
+    joined = low
+    for k in range(1, n):
+        joined = F.zip_with(joined, F.slice(low, F.lit(k + 1), F.greatest(size - k, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    windows = F.slice(joined, F.lit(1), F.greatest(size - n + 1, F.lit(0)))
+    return F.when(size == 0, F.array().cast("array<string>")).when(size < n, F.array(F.array_join(low, " "))).otherwise(windows)
 
 
 def compact(decoded: Column) -> Column:
@@ -72,10 +77,8 @@ def scan_score(text: Column, wanted: Column) -> Column:
 
 def contains_run(hay: Column, needle: Column) -> Column:
     """Whether the lower-cased ``needle`` stands contiguously in the lower-cased ``hay``; an empty needle always does."""
-    h, m = F.transform(hay, lambda x: F.lower(x)), F.transform(needle, lambda x: F.lower(x))
-    n, k = F.size(hay), F.size(needle)
-    starts = F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1)))
-    return (k == 0) | ((n >= k) & F.exists(starts, lambda i: F.slice(h, i, k) == m))
+    h, m = (F.concat(F.lit(" "), F.lower(F.array_join(x, " ")), F.lit(" ")) for x in (hay, needle))
+    return (F.size(needle) == 0) | F.contains(h, m)  # tokens hold no blanks
 
 
 def page_id(rel: Column) -> Column:

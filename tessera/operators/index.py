@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.tables import keep
 
 
 @dataclass(frozen=True)
@@ -64,5 +65,6 @@ def statistics(pages: DataFrame) -> DataFrame:
 
 
 def build(pages: DataFrame) -> Index:
-    post = postings(pages)
-    return Index(post, vocabulary(post), statistics(pages))
+    """The index of ``pages``, tokenized once: the postings are a table in the shared folder, sorted by term so that a term filter skips row groups."""
+    post = keep(postings(pages).sortWithinPartitions("term"), "postings")
+    return Index(post, keep(vocabulary(post), "vocab"), keep(statistics(pages), "stats"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from tessera.functions.text import FOLD_FROM, FOLD_TO
 
 _W = r"'[\p{L}\p{Nd}]+'"
@@ -171,8 +173,8 @@ ORACLES: dict[str, str] = {
     "relaxed_topk": f"WITH {INDEX}, {ASKED}, {_qt()}, {LEAST}, qr AS (SELECT qt.query_id, qt.pos, qt.term, qt.n_terms - 1 AS n_terms FROM qt JOIN ld USING (query_id) WHERE qt.n_terms >= 2 AND qt.pos <> ld.pos), {_match('mr', 'qr')}, {_top('rx', 'mr', True)} SELECT query_id, rank, source_rel, round(score, 6) AS score FROM rx",
     "search_stats": f"WITH {POLICY} SELECT query_id, (1 + relaxed::INT + used_or::INT)::BIGINT AS query_count, (CASE WHEN relaxed THEN n_terms ELSE 0 END)::BIGINT AS vocabulary_lookups, relaxed, used_or FROM per",
     "or_fallback_queries": f"WITH {POLICY} SELECT query_id FROM per WHERE used_or",
-    "safe_fill": f"""WITH {POLICY}, f AS (SELECT query_id, source_rel, min(tier * 100 + rank) AS at FROM tiers GROUP BY 1, 2)
-SELECT query_id, source_rel, rank FROM (SELECT query_id, source_rel, row_number() OVER (PARTITION BY query_id ORDER BY at) AS rank FROM f) WHERE rank <= 10""",
+    "safe_fill": f"""WITH {POLICY}, f AS (SELECT query_id, source_rel, min(tier * 100 + rank) AS spot FROM tiers GROUP BY 1, 2)
+SELECT query_id, source_rel, rank FROM (SELECT query_id, source_rel, row_number() OVER (PARTITION BY query_id ORDER BY spot) AS rank FROM f) WHERE rank <= 10""",
     "fused_rrf": f"""WITH {POLICY}, f AS (SELECT query_id, source_rel, round(coalesce(max(CASE WHEN tier = 0 THEN 4.0::DOUBLE / (60 + rank) END), 0) + coalesce(max(CASE WHEN tier = 1 THEN 1.0::DOUBLE / (60 + rank) END), 0) + coalesce(max(CASE WHEN tier = 2 THEN 0.5::DOUBLE / (60 + rank) END), 0), 12) AS score FROM tiers GROUP BY 1, 2)
 SELECT query_id, source_rel, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_rel) AS rank FROM f) WHERE rank <= 10""",
     "exact_policy": f"WITH {INDEX}, {ASKED}, {_qt()}, {_match('m', 'qt')}, {_top('ex', 'm', True)} SELECT query_id, source_rel, rank FROM ex",
@@ -231,3 +233,6 @@ WHEN NOT starts_with(s, section || '/') OR NOT ends_with(lower(s), '.html') THEN
     "html_title": f"WITH {_HTML} SELECT source_rel, {_TITLE} AS title FROM hs",
     "search_index": f"WITH {PG} SELECT page_key, section, page_id, replace(title, chr(9), ' ') AS title, source_rel, '' AS canonical_url FROM pg",
 }
+
+#: Each named step is computed once, however many later ones read it.
+ORACLES = {k: re.sub(r"\bAS \((?=\s*SELECT)", "AS MATERIALIZED (", v) for k, v in ORACLES.items()}
