@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from tessera.functions.text import FOLD_FROM, FOLD_TO
 
 _W = r"'[\p{L}\p{Nd}]+'"
@@ -71,8 +69,10 @@ dm AS (SELECT page_key, section, source_rel, body AS ref,
 def _frequencies(source: str = "dm", prefix: str = "") -> str:
     p = prefix
     return f"""{p}t AS (SELECT page_key, section, source_rel, regexp_extract_all(ref, {_W}) AS rt, regexp_extract_all(md, {_W}) AS mt FROM {source}),
-{p}rs AS (SELECT page_key, i - 1 AS pos, array_to_string(l[i:i + 4], ' ') AS shingle FROM (SELECT page_key, [lower(x) for x in rt] AS l, unnest(range(1, greatest(len(rt) - 4, 1) + 1)) AS i FROM {p}t WHERE len(rt) > 0)),
-{p}ms AS (SELECT page_key, i - 1 AS pos, array_to_string(l[i:i + 4], ' ') AS shingle FROM (SELECT page_key, [lower(x) for x in mt] AS l, unnest(range(1, greatest(len(mt) - 4, 1) + 1)) AS i FROM {p}t WHERE len(mt) > 0)),
+{p}rs AS (SELECT page_key, pos, shingle FROM (SELECT page_key, i - 1 AS pos, n, concat_ws(' ', w, lead(w, 1) OVER v, lead(w, 2) OVER v, lead(w, 3) OVER v, lead(w, 4) OVER v) AS shingle FROM (SELECT page_key, lower(unnest(rt)) AS w, unnest(range(1, len(rt) + 1)) AS i, len(rt) AS n FROM {p}t)
+  WINDOW v AS (PARTITION BY page_key ORDER BY i)) WHERE pos < greatest(n - 4, 1)),
+{p}ms AS (SELECT page_key, pos, shingle FROM (SELECT page_key, i - 1 AS pos, n, concat_ws(' ', w, lead(w, 1) OVER v, lead(w, 2) OVER v, lead(w, 3) OVER v, lead(w, 4) OVER v) AS shingle FROM (SELECT page_key, lower(unnest(mt)) AS w, unnest(range(1, len(mt) + 1)) AS i, len(mt) AS n FROM {p}t)
+  WINDOW v AS (PARTITION BY page_key ORDER BY i)) WHERE pos < greatest(n - 4, 1)),
 {p}df AS (SELECT shingle, sum(r)::BIGINT AS ref_df, sum(m)::BIGINT AS md_df FROM (SELECT DISTINCT page_key, shingle, 1 AS r, 0 AS m FROM {p}rs UNION ALL SELECT DISTINCT page_key, shingle, 0, 1 FROM {p}ms) GROUP BY shingle)"""
 
 
@@ -233,6 +233,3 @@ WHEN NOT starts_with(s, section || '/') OR NOT ends_with(lower(s), '.html') THEN
     "html_title": f"WITH {_HTML} SELECT source_rel, {_TITLE} AS title FROM hs",
     "search_index": f"WITH {PG} SELECT page_key, section, page_id, replace(title, chr(9), ' ') AS title, source_rel, '' AS canonical_url FROM pg",
 }
-
-#: Each named step is computed once, however many later ones read it.
-ORACLES = {k: re.sub(r"\bAS \((?=\s*SELECT)", "AS MATERIALIZED (", v) for k, v in ORACLES.items()}
