@@ -22,7 +22,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = topk.neighbours(table(spark, sf_dir, "embeddings"))
-    return got.select(F.col("id").alias("vec_id"), "neighbour", F.round("score", 6).alias("score"), "rank")
+    return got.select(F.col("id").alias("vec_id"), "neighbour", "score", "rank")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ WITH s AS (
          round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s
   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, neighbour) AS rank FROM s)
-SELECT vec_id, neighbour, round(s, 6) AS score, rank FROM r WHERE rank <= 10
+SELECT vec_id, neighbour, s AS score, rank FROM r WHERE rank <= 10
 """,
     "op7_exact_dedup": """
 SELECT d.* FROM documents d
