@@ -1,7 +1,7 @@
 """Operator 5: bits per byte of each document by online logistic context mixing.
 
 Each byte is predicted bit by bit by one predictor for each context order (the last 1 to 4 bytes).
-A predictor looks its context and the bits of the byte so far up in a hashed table of corpus-wide bit counts
+A predictor looks its context and the bits of the byte so far up in exact corpus-wide counts, which grow with the corpus,
 and gives the log odds of a one, scaled by a gate that opens with the number of observations. The log odds
 are added under a weight set that the bit's position selects; every document starts from the same weights and refines
 its own by the coding error of each ``BLOCK`` of its bytes. Counts are gathered from all documents.
@@ -9,6 +9,7 @@ its own by the coding error of each ``BLOCK`` of its bytes. Counts are gathered
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -19,11 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textnum as tn
-from .common import col, cut
+from .common import col, cut, shared_dir
 
 ORDERS = 4
-#: Slots of each order's hashed table: 2^20 float32 log odds are what every worker gets, whatever the corpus.
-SLOT_BITS = 20
 #: Bytes after which a document's weights are refined.
 BLOCK = 1024
 RATE = 0.3
@@ -135,65 +134,121 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(slot, bit)``, ``(len(keys), ORDERS, 8)`` and ``(len(keys), 8)``: where each predictor looks for each bit of each key's byte, and the bit."""
-    byte = (keys >> np.uint64(32)).astype(np.int64)
-    out = np.empty((len(keys), ORDERS, 8), np.int64)
-    bit = np.empty((len(keys), 8), np.int8)
-    for i in range(8):
-        node = ((256 | byte) >> (8 - i)).astype(np.uint64)  # a leading one, then the bits so far
-        bit[:, i] = (byte >> (7 - i)) & 1
+def context_bytes(keys: np.ndarray, order: int) -> np.ndarray:
+    """The last ``order`` bytes, the nearest first, and then the byte itself, of each key."""
+    return ((keys & np.uint64(2**32 - 1)) >> np.uint64(8 * (ORDERS - order)) << np.uint64(8)) | (keys >> np.uint64(32))
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of ``n`` of each."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[head], np.add.reduceat(n[order], head) if len(head) else np.zeros(0, np.int64)
+
+
+#: Distinct n-grams in one part of the written table, about.
+PART = 1 << 20
+
+
+def _write_parts(folder: str):
+    """Writes a part's counts of orders 2 and up; gives its first two context bytes and its counts of order 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if not held:
+            return
+        key, n = (np.concatenate(x) for x in zip(*held))
+        del held
+        first = int((key >> np.uint64(16) & np.uint64(0xFFFF)).min())
+        for o in range(2, ORDERS + 1):
+            k, c = _summed(context_bytes(key, o), n)
+            for what, x in (("key", k), ("sum", np.append(0, np.cumsum(c)))):
+                draft = f"{folder}/{uuid.uuid4().hex}.tmp"
+                with open(draft, "wb") as f:
+                    np.save(f, x)
+                os.replace(draft, f"{folder}/{first}-{o}-{what}.npy")
+        k, c = _summed(context_bytes(key, 1), n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), first, np.int32)), pa.array(k.astype(np.int64)), pa.array(c)], ["first", "key", "n"])
+
+    return run
+
+
+class Counts:
+    """Exact counts of the n-grams of a corpus: sorted tables in files that all workers map, which grow with the distinct n-grams, in parts by
+    the two nearest context bytes. Order 1 has 2^16 n-grams at most and is held."""
+
+    def __init__(self, folder: str, first: np.ndarray, one: np.ndarray):
+        self.folder, self.first = folder, first
+        self.one = np.append(0, np.cumsum(one))
+        self.open: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"open": {}}
+
+    def _part(self, part: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+        if (part, order) not in self.open:
+            name = f"{self.folder}/{self.first[part]}-{order}"
+            self.open[part, order] = np.load(f"{name}-key.npy", mmap_mode="r"), np.load(f"{name}-sum.npy", mmap_mode="r")
+        return self.open[part, order]
+
+    def totals(self, keys: np.ndarray) -> np.ndarray:
+        """``(len(keys), ORDERS, 9)``: how often the context came with the first 0 to 8 bits of the key's byte."""
+        out = np.zeros((len(keys), ORDERS, 9), np.float32)
+        if not len(self.first):
+            return out
+        by = np.argsort(context_bytes(keys, ORDERS))
+        keys = keys[by]
+        part = np.searchsorted(self.first, (keys >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.int64), side="right") - 1
+        got = np.zeros_like(out)
         for o in range(1, ORDERS + 1):
-            ctx = (keys & np.uint64(2**32 - 1)) >> np.uint64(8 * (ORDERS - o))
-            h = tn.mix64((ctx << np.uint64(8)) | node, o)
-            out[:, o - 1, i] = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64) + ((o - 1) << SLOT_BITS)
-    return out, bit
+            k = context_bytes(keys, o)
+            if o == 1:
+                spans = [(0, len(k), None, self.one)]
+            else:
+                head = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+                spans = [(a, b, *self._part(int(part[a]), o)) for a, b in zip(head, np.append(head[1:], len(part))) if part[a] >= 0]
+            for a, b, known, sums in spans:
+                for i in range(9):
+                    low = k[a:b] >> np.uint64(8 - i) << np.uint64(8 - i)
+                    high = low + np.uint64(1 << (8 - i))
+                    if known is not None:
+                        low, high = np.searchsorted(known, low), np.searchsorted(known, high)
+                    got[a:b, o - 1, i] = sums[high] - sums[low]
+        out[by] = got
+        return out
 
 
-def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    size = ORDERS << SLOT_BITS
-    n0, n1 = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    any_row = False
-    for batch in batches:
-        key, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-        for a in range(0, len(key), 1 << 16):
-            s, bit = slots(key[a : a + (1 << 16)])
-            for o in range(ORDERS):
-                at = s[:, o].ravel()
-                w = np.repeat(n[a : a + (1 << 16)], 8)
-                one = bit.ravel() == 1
-                np.add.at(n1, at[one], w[one])
-                np.add.at(n0, at[~one], w[~one])
-            any_row = True
-    if any_row:
-        at = np.flatnonzero(n0 + n1)
-        for a in range(0, len(at), 1 << 19):
-            k = at[a : a + (1 << 19)]
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(n0[k]), pa.array(n1[k])], ["slot", "n0", "n1"])
-
-
-def stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """Log odds of a one, clipped, times the gate n / (n + 0.5)."""
-    n = n0 + n1
-    odds = np.clip(np.log((n1 + 0.02) / (n0 + 0.02)), -_CLIP, _CLIP)
-    return (odds * (n / (n + 0.5))).astype(np.float32)
-
-
-def fit(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The hashed table of log odds from the n-gram counts of every text of ``docs``."""
+def stretch(total: np.ndarray) -> np.ndarray:
+    """From ``totals``, of each bit: log odds of what came, clipped, times the gate n / (n + 0.5)."""
+    n, came = total[..., :-1], total[..., 1:]
+    odds = np.clip(np.log((came + np.float32(0.02)) / (n - came + np.float32(0.02))), -_CLIP, _CLIP)
+    return odds * (n / (n + np.float32(0.5)))
+
+
+def fit(docs: DataFrame, text_col: str = "text") -> Counts:
+    """The counts of the n-grams of every text of ``docs``. They are written to the shared folder, which must be mounted where workers run."""
+    spark = docs.sparkSession
     grams = docs.select(col(text_col).alias("t")).mapInArrow(_count, "key bigint, n bigint")
-    total = grams.groupBy("key").agg(F.sum("n").alias("n"))
-    got = total.mapInArrow(_slot_counts, "slot int, n0 bigint, n1 bigint").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    table = np.zeros(ORDERS << SLOT_BITS, np.float32)
-    if got.num_rows:
-        table[got.column("slot").to_numpy()] = stretch(got.column("n0").to_numpy().astype(np.float64), got.column("n1").to_numpy().astype(np.float64))
-    return table
+    total = cut(grams.groupBy("key").agg(F.sum("n").alias("n")), "grams")
+    base = shared_dir(spark)
+    if "://" in base and not base.startswith("file://"):
+        raise ValueError("spark.checkpoint.dir must be a folder that is mounted on every worker (file://): the n-gram counts are mapped from it")
+    folder = f"{base.removeprefix('file://').removeprefix('file:')}/tessera-{spark.sparkContext.applicationId}/counts-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    parts = max(1, -(-total.count() // PART))
+    near = F.shiftright("key", 16).bitwiseAND(0xFFFF)
+    got = total.repartitionByRange(parts, near).mapInArrow(_write_parts(folder), "first int, key bigint, n bigint")
+    got = got.groupBy("key").agg(F.sum("n").alias("n"), F.collect_set("first").alias("first")).toArrow()
+    one = np.zeros(1 << 16, np.int64)
+    one[got.column("key").to_numpy()] = got.column("n").to_numpy()
+    return Counts(folder, np.unique(got.column("first").combine_chunks().flatten().to_numpy() if got.num_rows else np.zeros(0, np.int64)), one)
 
 
 class Coder:
     """Costs of texts under one table. It remembers the log odds of the n-grams it met."""
 
-    def __init__(self, table: np.ndarray):
+    def __init__(self, table: Counts):
         self.table = table
         self._forget()
         self.x = np.empty((BLOCK, 8 * ORDERS), np.float32)
@@ -212,8 +267,7 @@ class Coder:
             self.signed = np.concatenate([self.signed, np.zeros_like(self.signed)])
         for a in range(self.done, self.grams.n, 1 << 15):
             b = min(self.grams.n, a + (1 << 15))
-            s, bit = slots(self.grams.keys[a:b])
-            self.signed[a:b] = (self.table[s] * (2 * bit[:, None, :] - 1)).reshape(b - a, -1)
+            self.signed[a:b] = stretch(self.table.totals(self.grams.keys[a:b])).reshape(b - a, -1)
         self.done = self.grams.n
         return which
 
@@ -257,12 +311,12 @@ def _coder(name: str, sent) -> Coder:
     return _CODERS[name]
 
 
-def score(docs: DataFrame, table: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, table: Counts | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_bytes, total_bits, bits_per_byte)`` for each row; the table is fitted on ``docs`` itself if none is given.
 
     A null text has null results; an empty one costs 0 bits and has a null rate. Every byte of a text is coded. Rows repeat as in the input and
     equal texts cost alike, wherever they stand; an empty table gives an empty result. Other columns are not read."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, text_col) if table is None else table)  # 16 MB whatever the data
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, text_col) if table is None else table)  # names of files, and order 1
 
     name = uuid.uuid4().hex
 

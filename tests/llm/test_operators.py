@@ -171,3 +171,28 @@ def test_pipeline(spark):
             got = stage(spark, t, "/root/testdata/sf0.001")
             assert name == "packing" or got.columns == docs.columns
         assert name == "packing" or {tuple(r) for r in stage(spark, docs, "/root/testdata/sf0.001").select("doc_id").collect()} <= {tuple(r) for r in docs.select("doc_id").collect()}
+
+
+def test_lm_counts_are_exact_and_grow(spark):
+    texts = [prose(k, 60) for k in range(30)] + ["".join(map(chr, np.random.default_rng(4).integers(33, 126, 3000)))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    grams = defaultdict(int)
+    for t in texts:
+        data = b"\0" * ctxmix.ORDERS + t.encode()
+        for k in range(len(t)):
+            for o in range(1, ctxmix.ORDERS + 1):
+                for i in range(9):
+                    grams[o, data[k + 4 - o : k + 4], i, data[k + 4] >> (8 - i)] += 1
+    raw = np.frombuffer(texts[-1].encode(), np.uint8)
+    kept, ctxmix.PART = ctxmix.PART, 500  # several parts
+    try:
+        counts, half = ctxmix.fit(docs), ctxmix.fit(docs.limit(15))
+    finally:
+        ctxmix.PART = kept
+    assert len(counts.first) > 3
+    got = counts.totals(ctxmix.ngram_keys(raw, np.array([0, len(raw)])))
+    data = b"\0" * ctxmix.ORDERS + texts[-1].encode()
+    want = [[[grams[o, data[k + 4 - o : k + 4], i, data[k + 4] >> (8 - i)] for i in range(9)] for o in range(1, 5)] for k in range(len(raw))]
+    assert (got == np.array(want)).all()
+    rows = [sum(len(c._part(p, 4)[0]) for p in range(len(c.first))) for c in (counts, half)]
+    assert rows[0] == len({g for g in grams if g[0] == 4 and g[2] == 8}) > 1.5 * rows[1]
