@@ -3,8 +3,8 @@
 Each byte is predicted bit by bit by one predictor for each context order (the last 1 to 4 bytes).
 A predictor looks its context and the bits of the byte so far up in exact corpus-wide counts, which grow with the corpus,
 and gives the log odds of a one, scaled by a gate that opens with the number of observations. The log odds
-are added under a weight set that the bit's position selects; every document starts from the same weights and refines
-its own by the coding error of each ``BLOCK`` of its bytes. Counts are gathered from all documents.
+are added under a weight set that the bit's position and the number of orders that know the context select; every document starts from the same
+weights and each coded bit refines the set that predicted it. Counts are gathered from all documents, and a document's own are taken out before it is predicted.
 """
 
 from __future__ import annotations
@@ -23,15 +23,16 @@ from . import textnum as tn
 from .common import col, cut, shared_dir
 
 ORDERS = 4
-#: Bytes after which a document's weights are refined.
-BLOCK = 1024
-RATE = 0.3
-_DIAGONAL = np.tile(np.eye(8, dtype=np.float32), (ORDERS, 1))
-#: Weights against each bit: row (order, bit), column bit; what is off the diagonal stays 0.
-START = -np.repeat(np.array([0.15, 0.25, 0.35, 0.45], np.float32), 8)[:, None] * _DIAGONAL
+#: Step by which a bit's coding error moves the weights that predicted it.
+RATE = np.float32(0.02)
+#: Weight sets of each bit position: one for each number of orders that know the context.
+SETS = ORDERS + 1
+#: Weights of each set against what comes, by (order, bit), before the first byte.
+START = np.full((ORDERS, 8), -0.3, np.float32)
 _CLIP = 8.0
-#: Log odds are held within this; eight factors 1 + e^10 fit a float32.
-_LIMIT = 10.0
+_ONE = np.float32(1)
+#: Mixed log odds are held within this; eight factors 1 + e^10 fit a float32.
+_LIMIT = np.float32(10)
 _LN2 = float(np.log(2))
 _MULT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 
@@ -222,8 +223,16 @@ class Counts:
 def stretch(total: np.ndarray) -> np.ndarray:
     """From ``totals``, of each bit: log odds of what came, clipped, times the gate n / (n + 0.5)."""
     n, came = total[..., :-1], total[..., 1:]
-    odds = np.clip(np.log((came + np.float32(0.02)) / (n - came + np.float32(0.02))), -_CLIP, _CLIP)
-    return odds * (n / (n + np.float32(0.5)))
+    odds = came + np.float32(0.02)
+    other = n - came
+    other += np.float32(0.02)
+    odds /= other
+    np.log(odds, out=odds)
+    np.clip(odds, -_CLIP, _CLIP, out=odds)
+    np.add(n, np.float32(0.5), out=other)
+    np.divide(n, other, out=other)
+    odds *= other
+    return odds
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Counts:
@@ -245,88 +254,143 @@ def fit(docs: DataFrame, text_col: str = "text") -> Counts:
     return Counts(folder, np.unique(got.column("first").combine_chunks().flatten().to_numpy() if got.num_rows else np.zeros(0, np.int64)), one)
 
 
+def own_totals(row: np.ndarray, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What ``Counts.totals`` would give for each row's n-grams if only that row were counted. ``keys`` came ``n`` times in ``row`` (below 2^24)."""
+    out = np.empty((len(keys), ORDERS, 9), np.float32)
+    top = row.astype(np.uint64) << np.uint64(40)
+    for o in range(1, ORDERS + 1):
+        k = top | context_bytes(keys, o)
+        by = np.argsort(k)
+        k, c = k[by], n[by]
+        at = by  # where the rows of ``level`` go
+        head = np.append(True, k[1:] != k[:-1])
+        group = np.cumsum(head) - 1
+        k, c = k[head], np.add.reduceat(c, np.flatnonzero(head))
+        level = np.empty((len(k), 9), np.float32)
+        level[:, 8] = c
+        up = np.arange(len(k))
+        for i in range(7, -1, -1):
+            k = k >> np.uint64(1)
+            head = np.append(True, k[1:] != k[:-1])
+            if not head.all():
+                up = (np.cumsum(head) - 1)[up]
+                k, c = k[head], np.add.reduceat(c, np.flatnonzero(head))
+            level[:, i] = c[up]
+        out[at, o - 1] = level[group]
+    return out
+
+
 class Coder:
-    """Costs of texts under one table. It remembers the log odds of the n-grams it met."""
+    """Costs of texts under one table. It remembers the totals of the n-grams it met. With ``within``, the texts are among those counted, and each
+    is predicted from the counts of all the others."""
 
-    def __init__(self, table: Counts):
-        self.table = table
+    def __init__(self, table: Counts, within: bool):
+        self.table, self.within = table, within
         self._forget()
-        self.x = np.empty((BLOCK, 8 * ORDERS), np.float32)
 
     def _forget(self) -> None:
         self.grams = Grams()
-        self.signed = np.zeros((1 << 16, 8 * ORDERS), np.float32)
+        self.totals = np.zeros((1 << 16, ORDERS, 9), np.float32)
         self.done = 0
 
-    def _odds(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Numbers of the n-grams of each byte; ``signed`` then holds the log odds of the bits that came."""
+    def _numbers(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Numbers of the n-grams of each byte; ``totals`` then holds their counts."""
         if self.grams.n > HELD:
             self._forget()
         which = self.grams.number(ngram_keys(data, off))
-        while self.grams.n > len(self.signed):
-            self.signed = np.concatenate([self.signed, np.zeros_like(self.signed)])
-        for a in range(self.done, self.grams.n, 1 << 15):
-            b = min(self.grams.n, a + (1 << 15))
-            self.signed[a:b] = stretch(self.table.totals(self.grams.keys[a:b])).reshape(b - a, -1)
+        if self.grams.n > len(self.totals):
+            more = np.zeros((self.grams.n * 5 // 4, ORDERS, 9), np.float32)
+            more[: self.done] = self.totals[: self.done]
+            self.totals = more
+        for a in range(self.done, self.grams.n, 1 << 16):
+            b = min(self.grams.n, a + (1 << 16))
+            self.totals[a:b] = self.table.totals(self.grams.keys[a:b])
         self.done = self.grams.n
         return which
 
+    def _signed(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(which, x, seen)``: for each byte its place in ``x``, the log odds of the bits that came by order, and in ``seen``, how many orders know its context."""
+        which = self._numbers(data, off)
+        at, xs, seen, n = np.empty(len(data), np.int32), [], [], 0
+        for i, j in tn.slices(off, 1 << 17):
+            own = which[off[i] : off[j]].astype(np.int64)
+            if not len(own):
+                continue
+            row = np.repeat(np.arange(j - i), np.diff(off[i : j + 1]))
+            pair, place, count = np.unique((row << 32) | own, return_inverse=True, return_counts=True)
+            gram = pair & 0xFFFFFFFF
+            total = self.totals[gram]
+            if self.within:
+                total -= own_totals(pair >> 32, self.grams.keys[gram], count)
+                np.maximum(total, 0, out=total)
+            at[off[i] : off[j]] = place + n
+            xs.append(np.ascontiguousarray(stretch(total).transpose(1, 0, 2)))
+            seen.append((total[:, :, 0] > 0).sum(axis=1))
+            n += len(pair)
+        return at, np.concatenate(xs, axis=1), np.concatenate(seen)
+
     def bits(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Bits that each row's bytes cost."""
+        """Bits that each row's bytes cost. All rows go on a byte at a time; each has weights of its own, which every bit that came moves."""
         cost = np.zeros(len(off) - 1)
         if not len(data):
             return cost
-        which = self._odds(data, off)
-        signed, ends = self.signed, off.tolist()
-        for r in range(len(cost)):
-            weight = START
-            total = 0.0
-            for lo in range(ends[r], ends[r + 1], BLOCK):
-                hi = min(lo + BLOCK, ends[r + 1])
-                x = self.x[: hi - lo]
-                np.take(signed, which[lo:hi], axis=0, out=x, mode="clip")
-                z = np.matmul(weight.T, x.T)  # of each bit: log odds against what came
-                np.minimum(z, _LIMIT, out=z)
-                np.exp(z, out=z)
-                one = z + 1.0
-                p = one[:4] * one[4:]
-                p = p[:2] * p[2:]
-                total += float(np.log(p[0] * p[1]).sum(dtype=np.float64))
-                if hi < ends[r + 1]:
-                    z /= one  # the coding error of each bit
-                    step = np.matmul(x.T, z.T)
-                    weight = weight - np.float32(RATE / (hi - lo)) * (step * _DIAGONAL)
-            cost[r] = total / _LN2
+        at, x_of, seen_of = self._signed(data, off)
+        size = np.diff(off)
+        rows = np.argsort(-size, kind="stable")
+        start, size = off[:-1][rows], size[rows]
+        live = np.searchsorted(-size, -np.arange(int(size[0])), side="left").tolist()  # rows longer than t
+        weights = np.repeat(START[:, None], len(rows) * SETS, axis=1)
+        base = np.arange(len(rows)) * SETS
+        total = np.zeros(len(rows))
+        for t, n in enumerate(live):
+            here = at.take(start[:n] + t)
+            x = x_of.take(here, axis=1)
+            sets = base[:n] + seen_of.take(here)
+            w = weights.take(sets, axis=1)
+            z = np.add.reduce(w * x, axis=0)  # of each bit: log odds against what came
+            np.minimum(z, _LIMIT, out=z)
+            np.exp(z, out=z)
+            one = z + _ONE
+            total[:n] += np.log(np.multiply.reduce(one, axis=1))
+            z /= one  # the coding error of each bit
+            z *= RATE
+            x *= z
+            w -= x
+            weights[:, sets] = w
+        cost[rows] = total / _LN2
         return cost
 
 
 _CODERS: dict[str, Coder] = {}
 
 
-def _coder(name: str, sent) -> Coder:
+def _coder(name: str, sent, within: bool) -> Coder:
     """One coder for each Python worker, kept from task to task."""
     if name not in _CODERS:
         _CODERS.clear()
-        _CODERS[name] = Coder(sent.value)
+        _CODERS[name] = Coder(sent.value, within)
     return _CODERS[name]
 
 
 def score(docs: DataFrame, table: Counts | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_bytes, total_bits, bits_per_byte)`` for each row; the table is fitted on ``docs`` itself if none is given.
+    """``(id, n_bytes, total_bits, bits_per_byte)`` for each row. The table is fitted on ``docs`` itself if none is given, and each row's own counts are then taken out
+    before it is predicted; a given table is used as it is.
 
     A null text has null results; an empty one costs 0 bits and has a null rate. Every byte of a text is coded. Rows repeat as in the input and
     equal texts cost alike, wherever they stand; an empty table gives an empty result. Other columns are not read."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, text_col) if table is None else table)  # names of files, and order 1
 
-    name = uuid.uuid4().hex
+    name, within = uuid.uuid4().hex, table is None
 
     @F.arrow_udf(T.DoubleType())
     def run(text: pa.Array) -> pa.Array:
-        coder = _coder(name, sent)
-        data, off = tn.flat(text)
-        out = np.zeros(len(off) - 1)
-        for i, j in tn.slices(off, 1 << 20):
-            out[i:j] = coder.bits(data[off[i] : off[j]], off[i : j + 1] - off[i])
+        coder = _coder(name, sent, within)
+        # rows of like length are coded together, so that few steps have few rows
+        order = np.argsort(np.diff(tn.flat(text)[1]), kind="stable")
+        data, off = tn.flat(text.take(pa.array(order)))
+        out = np.zeros(len(order))
+        for i, j in tn.slices(off, 3 << 19):
+            out[order[i:j]] = coder.bits(data[off[i] : off[j]], off[i : j + 1] - off[i])
         return pa.array(out, mask=np.asarray(text.is_null()))
 
     got = docs.select(col(id_col).alias(id_col), F.octet_length(col(text_col)).cast("bigint").alias("n_bytes"), F.round(run(col(text_col)), 2).alias("total_bits"))

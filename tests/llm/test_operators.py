@@ -196,3 +196,27 @@ def test_lm_counts_are_exact_and_grow(spark):
     assert (got == np.array(want)).all()
     rows = [sum(len(c._part(p, 4)[0]) for p in range(len(c.first))) for c in (counts, half)]
     assert rows[0] == len({g for g in grams if g[0] == 4 and g[2] == 8}) > 1.5 * rows[1]
+
+
+def test_lm_score_takes_own_counts_out_and_adapts(spark):
+    noise = "".join(map(chr, np.random.default_rng(1).integers(33, 126, 1000)))
+    docs = spark.createDataFrame([(k, prose(k)) for k in range(40)] + [(99, noise)], "doc_id bigint, text string")
+    rate = {r.doc_id: r.bits_per_byte for r in ctxmix.score(docs).collect()}  # the noise is in the fitted corpus
+    assert rate[99] > 6 and rate[99] > 2 * max(v for k, v in rate.items() if k < 40)
+    # own counts alone leave nothing of themselves
+    raw = np.frombuffer((noise + prose(1)).encode(), np.uint8)
+    off = np.array([0, 1000, len(raw)])
+    keys, n = np.unique(ctxmix.ngram_keys(raw, off)[1000:], return_counts=True)
+    counts = ctxmix.fit(docs.where("doc_id = 1"))
+    assert (counts.totals(keys) == ctxmix.own_totals(np.zeros(len(keys), np.int64), keys, n)).all()
+    # a text under 1024 bytes moves its weights: with them held it costs more
+    coder, short = ctxmix.Coder(ctxmix.fit(docs.where("doc_id < 40")), False), np.frombuffer(noise[:900].encode(), np.uint8)
+    moved = coder.bits(short, np.array([0, 900]))[0]
+    rate, ctxmix.RATE = ctxmix.RATE, np.float32(0)
+    try:
+        assert coder.bits(short, np.array([0, 900]))[0] > 1.01 * moved
+    finally:
+        ctxmix.RATE = rate
+    # rows coded together cost what each costs alone
+    both = coder.bits(raw, off)
+    assert np.allclose(both, [coder.bits(raw[:1000], off[:2])[0], coder.bits(raw[1000:], off[1:] - 1000)[0]], rtol=1e-5)
