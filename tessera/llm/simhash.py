@@ -90,13 +90,12 @@ def simhash(text: pa.Array) -> pa.Array:
 
 
 def plan_bands(n: int) -> list[np.ndarray]:
-    """Bit positions of each band for ``n`` fingerprints. A band has 16 bits up to 2^24
-    fingerprints and one more for each doubling, so that buckets of unlike documents stay small;
-    the number of bands is what finds a pair that differs in 12 % of its bits with probability
-    0.93 or more (near copies differ in 9 % at the median)."""
-    width = max(16, math.ceil(math.log2(max(n, 2))) - 8)
-    hit = 0.88**width
-    count = max(BITS // width if width == 16 else 1, math.ceil(math.log(0.07) / math.log(1 - hit)))
+    """Bit positions of each band for ``n`` fingerprints. A band has 12 bits up to 2^20 fingerprints and one more for each
+    fourfold number; the number of bands is what finds a pair that differs in ``RADIUS`` bits with probability 0.93, at every size
+    (near copies differ in 9 % at the median and are all but sure to meet)."""
+    width = max(12, 2 + math.ceil(math.log2(max(n, 2)) / 2))
+    hit = math.comb(BITS - RADIUS, width) / math.comb(BITS, width)
+    count = math.ceil(math.log(0.07) / math.log(1 - hit))
     rng = np.random.default_rng(20240229)
     bands: list[np.ndarray] = []
     pool = np.zeros(0, np.int64)

@@ -220,3 +220,29 @@ def test_lm_score_takes_own_counts_out_and_adapts(spark):
     # rows coded together cost what each costs alone
     both = coder.bits(raw, off)
     assert np.allclose(both, [coder.bits(raw[:1000], off[:2])[0], coder.bits(raw[1000:], off[1:] - 1000)[0]], rtol=1e-5)
+
+
+def test_simhash_recall_by_distance():
+    rng = np.random.default_rng(8)
+    for n in (1000, 1 << 22, 1 << 27):
+        bands = simhash.plan_bands(n)
+        for far in (40, 50, simhash.RADIUS):
+            same = np.ones((600, simhash.BITS), bool)
+            for r in same:
+                r[rng.choice(simhash.BITS, far, replace=False)] = False
+            met = np.zeros(600, bool)
+            for pos in bands:
+                met |= same[:, pos].all(1)
+            assert met.mean() >= 0.9, (n, far)
+
+
+def test_simhash_finds_far_pairs(spark):
+    # groups of two, with no third member to join them: pairs within the radius by brute force must be found
+    pairs = [prose(k, 100).split() for k in range(150)]
+    texts = [" ".join(w) for w in pairs] + [" ".join(w if j >= 22 else f"other{j}k{k}words" for j, w in enumerate(p)) for k, p in enumerate(pairs)]
+    fp = simhash.fingerprints(pa.array(texts))
+    apart = np.bitwise_count(fp[:150] ^ fp[150:]).sum(1)
+    due = {150 + k for k in range(150) if apart[k] <= simhash.RADIUS}
+    assert sum(apart[k - 150] >= 40 for k in due) > 50
+    gone = {r.id for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert len(due & gone) >= 0.9 * len(due)
