@@ -42,6 +42,15 @@ _ITEM = re.compile(rf"(?P<string>[A-Za-z]{{0,2}}(?:{_STRING}))|(?P<ref>\$\{{?(?P
 _PLUS = re.compile(r"\s*\+\s*|[ \t]*\.\.[ \t]*")
 _INNER = re.compile(r"\$\{([A-Za-z_]\w*)\}")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+_JOINED = re.compile(r"(password|passwd|passphrase|passcode|secret|token|apikey|secretkey|accesskey|privatekey|credential)s?$")
+_SCHEME = re.compile(r"(?i)(?:bearer|basic|token|digest|apikey|negotiate)$")
+_AFTER_SCHEME = re.compile(r"[ \t]+(?P<bare>[^\s,;\"'`()\[\]{}<>]+)")
+#: Callees whose first argument names what they look up.
+_LOOKUP = re.compile(r"(?i)(?:^|[._])(?:get|getenv|env|environ|fetch|lookup|getproperty)$")
+_INSIDE = re.compile(rf"(?P<string>{_STRING})|(?P<open>[(\[{{])|(?P<close>[)\]}}])|(?P<comma>,)|(?P<word>{_NAME})")
+_KEY_ENDS = re.compile(r"\s*(?::|=>)")
+_PASS = re.compile(r"(?i)pass(?:word|wd|phrase|code)|pwd")
+_SENTENCE = frozenset("a an the is are be to of in or and for must should please enter your you this that with at not no".split())
 _IDENT = re.compile(rf"^{_NAME}$")
 
 
@@ -49,7 +58,10 @@ def sensitivity(name: str) -> float:
     words = [w.lower() for w in _CAMEL.findall(name)]
     best = 0.0
     for k, w in enumerate(words):
-        best = max(best, SENSITIVE.get(w, 0.0), SENSITIVE.get(" ".join(words[k : k + 2]), 0.0))
+        for x in (w, " ".join(words[k : k + 2])):
+            best = max(best, SENSITIVE.get(x, 0.0), SENSITIVE.get(x.removesuffix("s"), 0.0))
+        if m := _JOINED.search(w):  # dbpassword
+            best = max(best, SENSITIVE[m[1]])
     return best
 
 
@@ -67,6 +79,48 @@ def strength(literal: str) -> float:
     return score if n >= 8 else 0.75 * score
 
 
+def is_passphrase(name: str, literal: str) -> bool:
+    """Three words or more, no sentence, under a name for passwords."""
+    words = literal.lower().split()
+    return len(words) >= 3 and len(literal) >= 12 and bool(_PASS.search(name)) and not _SENTENCE.intersection(words)
+
+
+def bracketed(text: str, at: int, callee: str) -> tuple[int, list]:
+    """The end of the bracket that opens at ``at``, and the items in it: strings and names that are no keys, callees or names to look up. Of a map
+    within, only its keys' own assignments count."""
+    items: list = []
+    stack: list[tuple[str, bool]] = []  # bracket, and whether its next string is looked up
+    pos, word = at, callee
+    while m := _INSIDE.search(text, pos):
+        pos = m.end()
+        if m["open"]:
+            index = m["open"] == "[" and bool(word)
+            stack.append((m["open"], index or m["open"] == "(" and bool(_LOOKUP.search(word))))
+            word = ""
+        elif m["close"]:
+            stack.pop()
+            if not stack:
+                return pos, items
+        elif m["string"] is not None:
+            d = 3 if m["string"][:3] == '"""' and len(m["string"]) >= 6 else 1
+            lookup = stack[-1][1]
+            stack[-1] = (stack[-1][0], False)
+            nested = sum(b == "{" for b, _ in stack[1:])
+            if not lookup and not nested and not _KEY_ENDS.match(text, pos):
+                items.append(Literal(m.start() + d, pos - d, text[m.start() + d : pos - d]))
+                items += _INNER.findall(items[-1].value)
+            word = ""
+        elif m["word"]:
+            word = m["word"] if text[pos : pos + 1] in ("(", "[") else ""
+            if not word and not _KEY_ENDS.match(text, pos):
+                items.append(m["word"])
+        else:
+            stack[-1] = (stack[-1][0], False)
+    end = text.find("\n", at)  # never closed: what stands on the line counts
+    end = len(text) if end < 0 else end
+    return end, [x for x in items if isinstance(x, str) or x.end <= end]
+
+
 class Literal:
     __slots__ = ("start", "end", "value")
 
@@ -83,8 +137,17 @@ def lex(text: str) -> list[tuple[str, list]]:
         if m["path"]:
             name = f"{m['path']}.{name}"
         at, items, quoted = m.end(), [], False
-        while i := _ITEM.match(text, at):
-            if i["string"] is not None:
+        while True:
+            i = _ITEM.match(text, at)
+            if i is None:
+                if text[at : at + 1] not in ("(", "[", "{") or not text[at : at + 1]:
+                    break
+                at, more = bracketed(text, at, "")
+                items += more
+            elif i["bare"] is not None and text[i.end() : i.end() + 1] in ("(", "[") and _IDENT.match(i["bare"]):
+                at, more = bracketed(text, i.end(), i["bare"])  # a call's or an index's name is no literal
+                items += more
+            elif i["string"] is not None:
                 quoted = True
                 raw = i["string"]
                 q = len(raw) - len(raw.lstrip("abfrtuABFRTU")) if raw[0] not in "\"'`" else 0
@@ -103,7 +166,10 @@ def lex(text: str) -> list[tuple[str, list]]:
                     items.append(Literal(i.start("bare"), end, word))
                     if _IDENT.match(word):
                         items.append(word)
-            at = i.end()
+                    if _SCHEME.match(word) and (t := _AFTER_SCHEME.match(text, i.end())):
+                        items.append(Literal(t.start("bare"), t.end("bare"), t["bare"]))
+            if i is not None and at < i.end():
+                at = i.end()
             plus = _PLUS.match(text, at)
             if not plus:
                 break
@@ -143,7 +209,7 @@ def findings(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, st
             continue
         for item in items:
             if isinstance(item, Literal) and item.value not in holders:
-                s = round(level[k] * strength(item.value), 4)
+                s = round(level[k] * max(strength(item.value), 0.6 * is_passphrase(reason[k], item.value)), 4)
                 if s >= threshold and s > best.get((item.start, item.end), ("", 0.0))[1]:
                     best[item.start, item.end] = (reason[k], s)
     out, last = [], -1

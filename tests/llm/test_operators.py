@@ -246,3 +246,16 @@ def test_simhash_finds_far_pairs(spark):
     assert sum(apart[k - 150] >= 40 for k in due) > 50
     gone = {r.id for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
     assert len(due & gone) >= 0.9 * len(due)
+
+
+def test_secrets_in_whole_expressions():
+    s = "Zk93hQx7LmPw2vT8"
+    for line in (
+        f"Authorization: Bearer {s}", f'TOKEN = os.getenv("TOKEN", "{s}")', f'password = SecretStr("{s}")', f'password = ["{s}"]', f'tokens = {{"prod": "{s}"}}',
+        f'api_keys = ["abc", "{s}"]', f'dbpassword = "{s}"', f'passwords: {s}', f'secret = wrap(Secret(["{s}"]))', f'token = f("{s}"',
+    ):
+        assert [line[a:b] for a, b, _, _ in secrets.findings(line)] == [s], line
+    line = 'passphrase = "correct horse battery staple"'
+    assert [line[a:b] for a, b, _, _ in secrets.findings(line)] == ["correct horse battery staple"]
+    for line in ('password = os.getenv("DB_PASSWORD_PROD")', 'password = os.environ["DB_PASSWORD_PROD"]', 'password: "please enter your password"', "token = load_token_from_vault()"):
+        assert secrets.findings(line) == [], line
