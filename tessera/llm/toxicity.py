@@ -1,8 +1,8 @@
 """Operator 10: toxicity by a counterfactually regularised classifier.
 
-A logistic model over hashed words and word beginnings. In training, identity terms of the labelled sentences are
-swapped for other identity terms (and inserted where a sentence has none); the squared change of the score under each swap
-is penalised, so that the mention of a group by itself moves no document over the threshold.
+A logistic model over hashed words and word beginnings. In training, each labelled sentence comes with counterfactual ones: its identity terms are all
+swapped for others of their groups, or left out, and a sentence without any gets one. The squared change of the score (the probability) between a
+sentence and its counterfactuals is penalised, so that the mention of a group by itself moves no document over the threshold.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ DIM = 1 << DIM_BITS
 PREFIXES = (4, 5, 6)
 #: Most labelled rows that training takes of each class.
 MAX_PER_CLASS = 4000
-#: Weight of the penalty on score changes under identity swaps.
-COUNTERFACTUAL = 20.0
+#: Weight of the penalty, the mean squared change of the score over all counterfactuals, beside the mean logistic loss.
+COUNTERFACTUAL = 5.0
+#: By how many places in its group a term is moved in the counterfactuals of a sentence; a last one leaves the terms out.
+SHIFTS = (1, 2)
 #: Parts of the labelled rows; each is scored by a model of the others, and those scores set the threshold.
 FOLDS = 3
 #: Weight decay; held-out labels are ranked best at this strength, with few labelled rows and with many.
@@ -41,6 +43,11 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
 )
 
 
+_TERMS = [t for g in IDENTITY_TERMS for t in g]
+#: Of each term: its group's first term and the group's size.
+_GROUP = [(at, len(g)) for at, g in zip(np.cumsum([0, *map(len, IDENTITY_TERMS)]).tolist(), IDENTITY_TERMS) for _ in g]
+
+
 def word_features(w: tn.Words, which: np.ndarray) -> np.ndarray:
     """``(len(which), 1 + len(PREFIXES))`` feature ids; a word shorter than a prefix has -1 there."""
     out = np.full((len(which), 1 + len(PREFIXES)), -1, np.int64)
@@ -51,10 +58,11 @@ def word_features(w: tn.Words, which: np.ndarray) -> np.ndarray:
     return out
 
 
-def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """``(ids, bounds)``: the features of the distinct words of each text, concatenated."""
+def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(ids, bounds, terms, term_bounds)``: the features of the distinct words of each text, and the numbers of the identity terms in it, concatenated."""
     data, off = tn.flat(column)
-    ids, sizes = [], []
+    ids, sizes, terms, counts = [], [], [], []
+    known, number = _term_hashes()
     for i, j in tn.slices(off, 4 << 20):
         w = tn.Words(data[off[i] : off[j]], off[i : j + 1] - off[i])
         one = w.distinct()
@@ -63,9 +71,24 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         real = f >= 0
         ids.append(f[real])
         sizes.append(np.bincount(row, real.sum(axis=1), minlength=j - i).astype(np.int64))
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-    size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-    return flat, np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        at = np.minimum(np.searchsorted(known, w.hash[one]), len(known) - 1)
+        hit = known[at] == w.hash[one]
+        terms.append(number[at[hit]])
+        counts.append(np.bincount(row[hit], minlength=j - i))
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    ends = lambda x: np.concatenate([[0], np.cumsum(join(x))]).astype(np.int64)
+    return join(ids), ends(sizes), join(terms), ends(counts)
+
+
+def _words_of(texts: list[str]) -> tn.Words:
+    data, off = tn.flat(pa.array(texts))
+    return tn.Words(data, off)
+
+
+def _term_hashes() -> tuple[np.ndarray, np.ndarray]:
+    h = _words_of(_TERMS).hash
+    order = np.argsort(h)
+    return h[order], order
 
 
 @dataclass(frozen=True)
@@ -91,56 +114,86 @@ class Model:
         return out
 
 
-def swaps(texts_have: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse differences of swapped sentences: ``(pair, feature, value)``. Each term is swapped for
-    the next of its group and for no term at all; ``texts_have`` counts the labelled sentences with each term, which weigh that much more."""
-    terms = [t for g in IDENTITY_TERMS for t in g]
-    f, b = features(pa.array(terms))
-    pair, feat, val = [], [], []
-    n = at = 0
-    for g in IDENTITY_TERMS:
-        for k in range(len(g)):
-            i, j = at + k, at + (k + 1) % len(g)
-            strength = np.sqrt(1.0 + (0 if texts_have is None else texts_have[i]))
-            for other in (j, None):
-                own = f[b[i] : b[i + 1]]
-                pair += [n] * len(own)
-                feat += own.tolist()
-                val += [strength] * len(own)
-                if other is not None:
-                    o = f[b[other] : b[other + 1]]
-                    pair += [n] * len(o)
-                    feat += o.tolist()
-                    val += [-strength] * len(o)
-                n += 1
-        at += len(g)
-    return np.array(pair), np.array(feat), np.array(val)
-
-
-def train(ids: np.ndarray, bounds: np.ndarray, label: np.ndarray, prior: float, counterfactual: float = COUNTERFACTUAL, l2: float = L2, steps: int = 120, rate: float = 0.05) -> Model:
-    """Full-batch Adam on the logistic loss, classes weighed to ``prior``."""
+def counterfactuals(terms: np.ndarray, term_bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, pair, feature, value)``: the sentence of each counterfactual, and by counterfactual the features that it has more (1) or less (-1) often."""
+    w = _words_of(_TERMS)
+    own = word_features(w, np.arange(len(_TERMS)))
+    own = [f[f >= 0] for f in own]
+    rows, pair, feat, val = [], [], [], []
+    for r in range(len(term_bounds) - 1):
+        has = terms[term_bounds[r] : term_bounds[r + 1]].tolist()
+        if has:
+            moved = [[_GROUP[t][0] + (t - _GROUP[t][0] + s) % _GROUP[t][1] for t in has] for s in SHIFTS] + [[]]
+        else:  # a neutral mention put in: two groups in turn
+            moved = [[t % len(_TERMS)] for t in (7 * r, 7 * r + 31)]
+        for now in moved:
+            gone, new = set(has) - set(now), set(now) - set(has)
+            for sign, change in ((-1.0, gone), (1.0, new)):
+                for t in sorted(change):
+                    pair += [len(rows)] * len(own[t])
+                    feat += own[t].tolist()
+                    val += [sign] * len(own[t])
+            rows.append(r)
+    return np.array(rows, np.int64), np.array(pair, np.int64), np.array(feat, np.int64), np.array(val)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+@dataclass(frozen=True)
+class Sentences:
+    """Labelled sentences: features and identity terms of row i in ``bounds[i]:bounds[i + 1]``."""
+
+    ids: np.ndarray
+    bounds: np.ndarray
+    terms: np.ndarray
+    term_bounds: np.ndarray
+
+    def part(self, keep: np.ndarray) -> Sentences:
+        def cut(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            size = np.diff(bounds)
+            return values[np.repeat(keep, size)], np.concatenate([[0], np.cumsum(size[keep])])
+
+        return Sentences(*cut(self.ids, self.bounds), *cut(self.terms, self.term_bounds))
+
+    def logits(self, weights: np.ndarray, bias: float) -> np.ndarray:
+        n = len(self.bounds) - 1
+        return np.bincount(np.repeat(np.arange(n), np.diff(self.bounds)), weights[self.ids], minlength=n) + bias
+
+
+def objective(w: np.ndarray, b: float, s: Sentences, label: np.ndarray, sample: np.ndarray, swapped, counterfactual: float, l2: float) -> tuple[float, np.ndarray, float]:
+    """The loss, and its gradient by weights and bias. ``swapped`` is what ``counterfactuals`` gives."""
     n = len(label)
-    pos = label.sum()
+    row = np.repeat(np.arange(n), np.diff(s.bounds))
+    of, pair, feat, val = swapped
+    z = np.bincount(row, w[s.ids], minlength=n) + b
+    p = _sigmoid(z)
+    loss = float((sample * (np.logaddexp(0, z) - label * z)).sum() + l2 / 2 * (w * w).sum())
+    e = sample * (p - label)
+    g = l2 * w
+    if len(of):
+        q = _sigmoid(z[of] + np.bincount(pair, val * w[feat], minlength=len(of)))
+        change = p[of] - q
+        loss += float(counterfactual * (change**2).mean())
+        step = 2 * counterfactual / len(of) * change
+        e = e + np.bincount(of, step * (p[of] * (1 - p[of]) - q * (1 - q)), minlength=n)
+        g = g - np.bincount(feat, val * (step * q * (1 - q))[pair], minlength=len(w))
+    return loss, g + np.bincount(s.ids, e[row], minlength=len(w)), float(e.sum())
+
+
+def train(s: Sentences, label: np.ndarray, prior: float, counterfactual: float = COUNTERFACTUAL, l2: float = L2, steps: int = 120, rate: float = 0.05) -> Model:
+    """Full-batch Adam on the logistic loss, classes weighed to ``prior``, with the penalty on score changes. Without both classes it rejects nothing."""
+    n, pos = len(label), label.sum()
     if n == 0 or pos == 0 or pos == n:
-        return Model(np.zeros(DIM), -np.inf if pos == 0 else 0.0)
+        return Model(np.zeros(DIM), -np.inf)
     sample = np.where(label == 1, prior / pos, (1 - prior) / (n - pos))
-    row = np.repeat(np.arange(n), np.diff(bounds))
-    terms = [t for g in IDENTITY_TERMS for t in g]
-    tf, tb = features(pa.array(terms))
-    have = np.array([len(np.unique(row[ids == tf[tb[i]]])) for i in range(len(terms))])
-    pair, feat, val = swaps(have)
-    pairs = pair.max() + 1
+    swapped = counterfactuals(s.terms, s.term_bounds)
     w, b = np.zeros(DIM), float(np.log(prior / (1 - prior)))
-    m = np.zeros(DIM + 1)
-    v = np.zeros(DIM + 1)
+    m, v = np.zeros(DIM + 1), np.zeros(DIM + 1)
     for t in range(1, steps + 1):
-        z = np.bincount(row, w[ids], minlength=n) + b
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        e = sample * (p - label)
-        g = np.bincount(ids, e[row], minlength=DIM) + l2 * w
-        change = np.bincount(pair, val * w[feat], minlength=pairs)
-        g += counterfactual / pairs * np.bincount(feat, val * change[pair], minlength=DIM)
-        full = np.append(g, e.sum())
+        _, g, gb = objective(w, b, s, label, sample, swapped, counterfactual, l2)
+        full = np.append(g, gb)
         m = 0.9 * m + 0.1 * full
         v = 0.99 * v + 0.01 * full * full
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -149,10 +202,14 @@ def train(ids: np.ndarray, bounds: np.ndarray, label: np.ndarray, prior: float,
     return Model(w.astype(np.float32).astype(np.float64), float(b))
 
 
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def feature_ids(text: pa.Array) -> pa.Array:
-    ids, bounds = features(text)
-    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
+_SENTENCE = T.StructType([T.StructField("f", T.ArrayType(T.IntegerType())), T.StructField("t", T.ArrayType(T.IntegerType()))])
+
+
+@F.arrow_udf(_SENTENCE)
+def sentence(text: pa.Array) -> pa.Array:
+    ids, bounds, terms, term_bounds = features(text)
+    lists = [pa.ListArray.from_arrays(pa.array(b.astype(np.int32)), pa.array(x.astype(np.int32))) for x, b in ((ids, bounds), (terms, term_bounds))]
+    return pa.StructArray.from_arrays(lists, names=["f", "t"])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str, text_col: str) -> DataFrame:
@@ -166,32 +223,41 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_
     return text.join(F.broadcast(chosen), "_i").select("_i", "text", "y")  # bounded by 2 * per_class rows
 
 
+def gathered(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> tuple[Sentences, np.ndarray, np.ndarray]:
+    """``(sentences, labels, ids)`` of the labelled documents, by id."""
+    rows = labelled(docs, labels, label, per_class, id_col, text_col)
+    got = rows.select("_i", "y", sentence("text").alias("s")).select("_i", "y", "s.f", "s.t").toArrow().sort_by("_i")
+
+    def lists(name: str) -> tuple[np.ndarray, np.ndarray]:
+        x = got.column(name).combine_chunks()
+        x = x if isinstance(x, pa.Array) else pa.concat_arrays(x.chunks) if x.num_chunks else pa.array([], pa.list_(pa.int32()))
+        return x.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy())]).astype(np.int64)
+
+    return Sentences(*lists("f"), *lists("t")), got.column("y").to_numpy().astype(np.float64), got.column("_i").to_numpy().astype(np.int64)
+
+
+def out_of_fold(s: Sentences, y: np.ndarray, ids: np.ndarray, prior: float, counterfactual: float) -> np.ndarray | None:
+    """The score of each sentence by a model of the other folds; None where a fold leaves only one class."""
+    fold = tn.mix64(ids.view(np.uint64), 5) % np.uint64(FOLDS)
+    if not all(0 < y[fold != k].sum() < (fold != k).sum() for k in range(FOLDS)):
+        return None
+    p = np.zeros(len(y))
+    for k in range(FOLDS):
+        part = train(s.part(fold != k), y[fold != k], prior, counterfactual)
+        p[fold == k] = _sigmoid(s.part(fold == k).logits(part.weights, part.bias))
+    return p
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS, counterfactual: float = COUNTERFACTUAL, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> Model:
-    """Model from at most ``per_class`` labelled documents of each class. Without toxic labels it rejects nothing."""
+    """Model from at most ``per_class`` labelled documents of each class. Where not both classes have labelled documents it scores everything 0 and rejects nothing."""
     share = labels.select(F.avg(col(label).cast("double"))).first()[0]
-    rows = labelled(docs, labels, label, per_class, id_col, text_col)
-    got = rows.select("_i", "y", feature_ids("text").alias("f")).toArrow().sort_by("_i")
-    if not got.num_rows or not share:
+    s, y, ids = gathered(docs, labels, per_class, id_col, text_col, label)
+    if not share or not 0 < y.sum() < len(y):
         return Model(np.zeros(DIM), -np.inf)
-    f = got.column("f").combine_chunks()
-    f = f if isinstance(f, pa.Array) else pa.concat_arrays(f.chunks)
-    ids = f.flatten().to_numpy().astype(np.int64)
-    bounds = np.concatenate([[0], np.cumsum(f.value_lengths().to_numpy())]).astype(np.int64)
-    y = got.column("y").to_numpy().astype(np.float64)
     prior = min(max(share, 0.01), 0.99)
-    fold = tn.mix64(got.column("_i").to_numpy().astype(np.int64).view(np.uint64), 5) % np.uint64(FOLDS)
-    size = np.diff(bounds)
-    row = np.repeat(np.arange(len(y)), size)
-    threshold = 0.5
-    if all(0 < y[fold != k].sum() < (fold != k).sum() for k in range(FOLDS)):
-        p = np.zeros(len(y))
-        for k in range(FOLDS):
-            rest, own = fold != k, fold == k
-            part = train(ids[rest[row]], np.concatenate([[0], np.cumsum(size[rest])]), y[rest], prior, counterfactual)
-            z = np.bincount(row, part.weights[ids], minlength=len(y)) + part.bias
-            p[own] = 1 / (1 + np.exp(-np.clip(z[own], -40, 40)))
-        threshold = best_threshold(p, y, prior)
-    m = train(ids, bounds, y, prior, counterfactual)
+    p = out_of_fold(s, y, ids, prior, counterfactual)
+    threshold = 0.5 if p is None else best_threshold(p, y, prior)
+    m = train(s, y, prior, counterfactual)
     return Model(m.weights, m.bias, threshold)
 
 
