@@ -1,12 +1,13 @@
 """Operator 1: SimHash near-duplicate removal over a Gray-order hierarchical index.
 
 A document's fingerprint is a 256-bit SimHash of its words, each weighted by its length over
-three letters (at most 3; function words weigh nothing). Two documents are near duplicates if their
-fingerprints differ in at most ``RADIUS`` bits. Groups are the connected components of that
-relation, and the document with the smallest id of each group stays.
+three letters (at most 3; function words weigh nothing). Of a word over ``LONG`` bytes, as texts without blanks have, every run of ``RUN`` bytes
+counts instead. Two documents are near duplicates if their fingerprints differ in at most ``RADIUS`` bits and the search lets them meet. Groups are the
+connected components of that relation, and the document with the smallest id of each group stays.
 
 The search is distributed by bands: a fingerprint goes to one bucket for each of ``plan_bands``
-disjoint or resampled bit blocks, so rows that share a block meet. In a bucket the rows are sorted by the Gray rank
+disjoint or resampled bit blocks, so rows that share a block meet. A pair 60 bits apart meets with probability 0.93, one 50 bits apart with 0.99,
+one 40 bits apart with 0.999, at every size of the table; a pair that doesn't meet is still joined by a third document that is near both. In a bucket the rows are sorted by the Gray rank
 of their fingerprints and put under a tree in which each node holds the bits that all its leaves
 share and no ancestor has; a query walks down with the differences accumulated so far and drops a whole
 node as soon as they exceed the radius.
@@ -32,6 +33,9 @@ WORDS64 = BITS // 64
 RADIUS = 60
 #: Children of an index node.
 FANOUT = 8
+#: Bytes over which a word is taken in runs, and bytes of a run.
+LONG = 40
+RUN = 8
 _CAP = 3
 _GROUP = 255 // _CAP
 
@@ -57,6 +61,10 @@ def fingerprints(column: pa.Array) -> np.ndarray:
             continue
         bounds = np.concatenate([[0], np.cumsum(keep)])[w.bounds]
         hashes, weight = w.hash[keep], weight[keep].astype(np.uint64)
+        long = np.flatnonzero(w.length > LONG)
+        if len(long):
+            row, hashes, weight = _with_runs(w, keep, long)
+            bounds = np.searchsorted(row, np.arange(j - i + 1))
         total = tn.row_sums(weight.astype(np.int64), bounds)
         # runs: every _GROUP words, and anew at each row
         row = np.repeat(np.arange(j - i), np.diff(bounds))
@@ -81,6 +89,21 @@ def fingerprints(column: pa.Array) -> np.ndarray:
     return out
 
 
+def _with_runs(w: tn.Words, keep: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, hash, weight)`` of the words that weigh, in the order of rows, the long ones replaced by their runs."""
+    rows = w.rows()
+    short = keep.copy()
+    short[long] = False
+    runs = w.length[long] - RUN + 1
+    at = np.repeat(w._at[long], runs) + np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+    window = np.lib.stride_tricks.sliding_window_view(w._body, RUN)
+    h = np.ascontiguousarray(window[at]).view(np.uint64).ravel()
+    row = np.concatenate([rows[short], np.repeat(rows[long], runs)])
+    order = np.argsort(row, kind="stable")
+    weight = np.concatenate([np.clip(w.length[short] - 3, 0, _CAP), np.ones(len(h), np.int64)]).astype(np.uint64)
+    return row[order], np.concatenate([w.hash[short], tn.mix64(h, 99)])[order], weight[order]
+
+
 @F.arrow_udf(T.BinaryType())
 def simhash(text: pa.Array) -> pa.Array:
     """256-bit fingerprint, big-endian; null for a text without words that weigh."""
@@ -226,7 +249,7 @@ def index_components(bucket: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -
 def _bucket_edges(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
+        rows, last = 0, None
 
         def flush(batch: pa.Table) -> pa.RecordBatch:
             bucket = batch.column("bucket").to_numpy()
@@ -243,15 +266,14 @@ def _bucket_edges(radius: int):
                 continue
             held.append(batch)
             rows += batch.num_rows
-            if rows < 1 << 17:
-                continue
-            t = pa.Table.from_batches(held)
-            b = t.column("bucket").to_numpy()
-            whole = int(np.searchsorted(b, b[-1]))  # the last bucket may go on in the next batch
-            if whole:
-                yield flush(t.slice(0, whole))
-                held = t.slice(whole).to_batches()
-                rows = t.num_rows - whole
+            b = batch.column(0).to_numpy()
+            if rows < 1 << 17 or last == b[-1]:
+                last = b[-1]
+                continue  # too few rows, or one bucket goes on: nothing is put together again and again
+            last = b[-1]
+            whole = int(np.searchsorted(b, last))  # the last bucket may go on in the next batch
+            yield flush(pa.Table.from_batches([*held[:-1], batch.slice(0, whole)]))
+            held, rows = [batch.slice(whole)], batch.num_rows - whole
         if rows:
             yield flush(pa.Table.from_batches(held))
 
@@ -302,7 +324,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
 
     Null and empty texts, and texts of short words only, have no fingerprint and are nobody's
     duplicate. Rows with one id are one document (its smallest fingerprint counts); rows without
-    an id take no part. Other columns are not read, so their names cannot clash. An empty table gives an empty result."""
+    an id take no part. Other columns are not read, so their names cannot clash. An empty table gives an empty result. Pairs exactly at the radius are near
+    duplicates; of those near the radius a few are not found (see the head of this module for the figures)."""
     sig = docs.select(col(id_col).cast("bigint").alias("id"), simhash(col(text_col)).alias("fp"))
     sig = cut(sig.where("id is not null and fp is not null"), "simhash")
     n = sig.count()
@@ -317,6 +340,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
 
 
 def dedup(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents of ``near_duplicates``; columns and their order stay."""
+    """``docs`` without the documents of ``near_duplicates``; columns and their order stay.
+
+    Recall by distance, at every size: 0.93 of the pairs 60 bits apart, 0.99 at 50, 0.999 at 40 and nearer. Rows with null ids or texts all stay."""
     gone = cut(near_duplicates(docs, radius, id_col, text_col).select("id"), "gone")
     return drop_ids(docs, gone, id_col)
