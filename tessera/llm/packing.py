@@ -1,9 +1,10 @@
 """Operator 4: best-fit packing of documents into training sequences, with certified bin counts.
 
-A document longer than the capacity is cut into full pieces, each a bin of its own, and a remainder. Whole
-documents and remainders are packed by best-fit decreasing in each partition. Dual feasible functions give a lower bound
+A document longer than the capacity is cut, between characters, into pieces that fill a bin each, but for at most three bytes, and a remainder. Whole
+documents and all pieces that leave room are packed by best-fit decreasing in each partition. Dual feasible functions give a lower bound
 on the bins of any packing of a partition; where best fit meets it, the count is certified as optimal. Partitions with a
-gap give up the documents of their worst filled bins, exchange them and pack them anew, and the exchange stands where it saves bins.
+gap give up the documents of their worst filled bins and exchange them, eight partitions in a group; a group packs them anew, and its new bins stand where they are
+fewer. Exchanges go on, with other groups each time, until none saves a bin or no two partitions have a gap.
 """
 
 from __future__ import annotations
@@ -14,15 +15,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from . import textnum as tn
 from .common import col, cut
 
 #: Units (UTF-8 bytes of text) of a sequence.
 CAPACITY = 8192
 #: Pieces that one partition packs; the number of partitions follows from it.
 PER_PARTITION = 20_000
-#: Exchanges between partitions with a gap.
-ROUNDS = 2
+#: Partitions with a gap that exchange documents with one another.
+GROUP = 8
+#: Bins filled less than this share of the capacity give up their documents.
+LOOSE = 0.97
 
 
 def best_fit_decreasing(size: np.ndarray, capacity: int) -> np.ndarray:
@@ -79,67 +84,102 @@ def lower_bound(size: np.ndarray, capacity: int) -> int:
 
 
 _PIECES = "part bigint, id bigint, piece bigint, start bigint, size bigint"
-_PACKED = _PIECES + ", bin bigint, fill bigint, gap bigint"
+_PACKED = "part bigint, id bigint, piece bigint, start bigint, size bigint, bin bigint, fill bigint, gap bigint"
+
+
+def _packed(t: pa.Table, capacity: int, part: int) -> pa.Table:
+    keys = [t.column(c).fill_null(-(2**63)).to_numpy() for c in ("start", "piece", "id")]
+    t = t.take(pa.array(np.lexsort(keys)))
+    size = t.column("size").to_numpy()
+    b = best_fit_decreasing(size, capacity)
+    bins = int(b.max()) + 1 if len(b) else 0
+    fill = np.bincount(b, size, minlength=bins).astype(np.int64)
+    gap = max(0, bins - max(1, lower_bound(size, capacity)))
+    same = lambda x: pa.array(np.full(len(b), x, np.int64))
+    return pa.table({"part": same(part), **{c: t.column(c) for c in ("id", "piece", "start", "size")}, "bin": pa.array(b), "fill": pa.array(fill[b]), "gap": same(gap)})
 
 
 def _pack(capacity: int):
     def run(t: pa.Table) -> pa.Table:
-        order = np.lexsort([t.column(c).to_numpy() for c in ("start", "piece", "id")])
-        t = t.take(pa.array(order))
-        size = t.column("size").to_numpy()
-        b = best_fit_decreasing(size, capacity)
-        bins = int(b.max()) + 1 if len(b) else 0
-        fill = np.bincount(b, size, minlength=bins).astype(np.int64)
-        gap = max(0, bins - max(1, lower_bound(size, capacity)))
-        return pa.table({**{c: t.column(c) for c in ("part", "id", "piece", "start", "size")}, "bin": pa.array(b), "fill": pa.array(fill[b]), "gap": pa.array(np.full(len(b), gap, np.int64))})
+        return _packed(t, capacity, t.column("part")[0].as_py())
 
     return run
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, piece, start, size)``: each document whole, or cut every ``capacity`` bytes. Null texts have no piece, empty ones one of size 0."""
-    n = F.octet_length(col(text_col)).cast("bigint")
-    rows = docs.where(col(text_col).isNotNull()).select(col(id_col).cast("bigint").alias("id"), n.alias("n"))
-    cuts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {capacity}")))
-    p = rows.select("id", "n", F.posexplode(cuts).alias("pos", "piece"))
-    start = F.col("piece") * capacity
-    return p.select("id", "piece", start.alias("start"), F.least(F.lit(capacity).cast("bigint"), F.col("n") - start).alias("size"))
+def _exchange(capacity: int, turn: int):
+    """A group's documents packed anew, as a partition of its own, if that saves bins, or as they were; ``saved`` says how many."""
 
+    def run(t: pa.Table) -> pa.Table:
+        old = t.group_by(["part", "bin"]).aggregate([]).num_rows
+        new = _packed(t, capacity, turn << 40 | t.column("club")[0].as_py())
+        saved = max(0, old - (int(new.column("bin").to_numpy().max()) + 1))
+        out = new if saved else t.select(new.column_names)
+        return out.append_column("saved", pa.array(np.full(len(out), saved, np.int64)))
+
+    return run
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _character_cuts(text: pa.Array, capacity: pa.Array) -> pa.Array:
+    """Where the pieces of each text begin, in bytes; null for null."""
+    room = capacity[0].as_py() if len(capacity) else 1
+    data, off = tn.flat(text)
+    out: list[list[int] | None] = []
+    for k, null in enumerate(text.is_null().to_pylist()):
+        d = data[off[k] : off[k + 1]]
+        cuts, at = [0], room
+        while at < len(d):
+            back = at
+            while back > at - 4 and d[back] & 0xC0 == 0x80:
+                back -= 1
+            at = back if back > cuts[-1] and back > at - 4 else at  # a capacity under four bytes cuts where it must
+            cuts.append(at)
+            at += room
+        out.append(None if null else cuts)
+    return pa.array(out, pa.list_(pa.int64()))
+
+
+def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, piece, start, size)``: each document whole, or cut so that no piece is over ``capacity`` bytes and none ends within a character. Null texts have no
+    piece, empty ones one of size 0. Only texts over the capacity with characters of several bytes are looked into."""
+    text = col(text_col)
+    n = F.octet_length(text).cast("bigint")
+    wide = (F.octet_length(text) > capacity) & (F.octet_length(text) > F.length(text))
+    rows = docs.where(text.isNotNull()).select(col(id_col).cast("bigint").alias("id"), n.alias("n"), _character_cuts(F.when(wide, text), F.lit(capacity)).alias("cuts"))
+    even = F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {capacity}"))), lambda k: k * capacity)
+    rows = rows.withColumn("cuts", F.coalesce("cuts", even))
+    size = F.coalesce(F.get("cuts", F.col("pos") + 1), F.col("n")) - F.col("start")
+    p = rows.select("id", "n", "cuts", F.posexplode("cuts").alias("pos", "start"))
+    return p.select("id", F.col("pos").cast("bigint").alias("piece"), "start", size.alias("size"))
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, piece, start, size, bin, certified)``: the bin of each piece, by a string that is unique to it.
 
     Every byte of every non-null text is in one piece, and no bin holds more than ``capacity`` bytes. An empty text is a piece of size 0; a null text is
-    in no bin. Rows with one id, or none, are packed separately as they come; equal sizes go by id. ``certified``
-    says that the bin's partition provably has as few bins as can be. An empty table gives an empty result; other columns are not read."""
+    in no bin. Rows with one id, or none, are packed separately as they come, in any partition; equal sizes go by id. ``certified``
+    says that the bin's partition (or group, after an exchange) provably has as few bins as can be. An empty table gives an empty result; other columns are not read."""
     p = cut(pieces(docs, capacity, id_col, text_col), "pieces")
     full = p.where(F.col("size") == capacity)
     rest = p.where(F.col("size") < capacity)
     n = rest.count()
     parts = max(1, -(-n // per_partition))
-    key = F.pmod(F.xxhash64("id", "piece"), F.lit(parts)).cast("bigint")
-    packed = rest.select(key.alias("part"), "id", "piece", "start", "size").groupBy("part").applyInArrow(_pack(capacity), _PACKED)
-    packed = cut(packed.withColumn("round", F.lit(0)), "packed")
-    done = []
-    for r in range(1, rounds + 1):
-        if packed.where("gap > 0").select("part").distinct().limit(2).count() < 2:
-            break
-        # bins filled under 97 % of partitions with a gap, eight such partitions at a time
-        loose = (F.col("gap") > 0) & (F.col("fill") < F.lit(int(capacity * 0.97)))
-        firm = packed.where(~loose)
-        moved = packed.where(loose)
-        before = moved.select("part", "bin").distinct().count()
-        mixed = moved.select(F.pmod(F.xxhash64(F.col("id"), F.col("piece"), F.lit(r)), F.lit(max(1, parts // 8))).cast("bigint").alias("part"), "id", "piece", "start", "size")
-        again = mixed.groupBy("part").applyInArrow(_pack(capacity), _PACKED)
-        again = cut(again.withColumn("round", F.lit(r)), "packed")
-        after = again.select("part", "bin").distinct().count()
-        if after >= before:
+    # the table of pieces is written, so its rows have fixed numbers; they spread rows that share an id, or have none
+    key = F.pmod(F.xxhash64("id", "piece", F.monotonically_increasing_id()), F.lit(parts)).cast("bigint")
+    packed = cut(rest.select(key.alias("part"), "id", "piece", "start", "size").groupBy("part").applyInArrow(_pack(capacity), _PACKED), "packed")
+    done: list[DataFrame] = []
+    turn = 0
+    while (gaps := packed.where("gap > 0").select("part").distinct().count()) > 1:
+        turn += 1
+        loose = (F.col("gap") > 0) & (F.col("fill") < F.lit(int(capacity * LOOSE)))
+        club = F.pmod(F.xxhash64("part", F.lit(turn)), F.lit(-(-gaps // GROUP))).cast("bigint")
+        again = cut(packed.where(loose).withColumn("club", club).groupBy("club").applyInArrow(_exchange(capacity, turn), _PACKED + ", saved bigint"), "packed")
+        done.append(packed.where(~loose))
+        packed = again.drop("saved")
+        if again.where("saved > 0").isEmpty():
             break
-        # what stays put is as full as it was; only what moved can gain from another round
-        done.append(firm)
-        packed = again
     names = ["id", "piece", "start", "size"]
     out = full.select(*names, F.concat(F.lit("full-"), F.hex(F.monotonically_increasing_id())).alias("bin"), F.lit(True).alias("certified"))
     for b in [packed, *done]:
-        out = out.unionByName(b.select(*names, F.concat_ws("-", F.col("round"), F.col("part"), F.col("bin")).alias("bin"), (F.col("gap") == 0).alias("certified")))
+        out = out.unionByName(b.select(*names, F.concat_ws("-", "part", "bin").alias("bin"), (F.col("gap") == 0).alias("certified")))
     return out.withColumnRenamed("id", "doc_id")
