@@ -3,7 +3,7 @@
 Each byte is predicted bit by bit by one predictor for each context order (the last 1 to 4 bytes).
 A predictor looks its context and the bits of the byte so far up in exact corpus-wide counts, which grow with the corpus,
 and gives the log odds of a one, scaled by a gate that opens with the number of observations. The log odds
-are added under a weight set that the bit's position and the number of orders that know the context select; every document starts from the same
+are added under a weight set that the bit's position and the number of orders that know the context select; every block of ``BLOCK`` bytes starts from the same
 weights and each coded bit refines the set that predicted it. Counts are gathered from all documents, and a document's own are taken out before it is predicted.
 """
 
@@ -25,6 +25,10 @@ from .common import col, cut, shared_dir
 ORDERS = 4
 #: Step by which a bit's coding error moves the weights that predicted it.
 RATE = np.float32(0.02)
+#: Bytes after which a text's weights start anew, so that the blocks of a long text are coded side by side. Contexts go on across blocks.
+BLOCK = 4096
+#: Bytes whose log odds are computed at once; what they need stays in the processor's cache.
+CHUNK = 1 << 15
 #: Weight sets of each bit position: one for each number of orders that know the context.
 SETS = ORDERS + 1
 #: Weights of each set against what comes, by (order, bit), before the first byte.
@@ -312,7 +316,7 @@ class Coder:
         """``(which, x, seen)``: for each byte its place in ``x``, the log odds of the bits that came by order, and in ``seen``, how many orders know its context."""
         which = self._numbers(data, off)
         at, xs, seen, n = np.empty(len(data), np.int32), [], [], 0
-        for i, j in tn.slices(off, 1 << 17):
+        for i, j in tn.slices(off, CHUNK):
             own = which[off[i] : off[j]].astype(np.int64)
             if not len(own):
                 continue
@@ -330,14 +334,17 @@ class Coder:
         return at, np.concatenate(xs, axis=1), np.concatenate(seen)
 
     def bits(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Bits that each row's bytes cost. All rows go on a byte at a time; each has weights of its own, which every bit that came moves."""
+        """Bits that each row's bytes cost. All blocks of all rows go on a byte at a time; each has weights of its own, which every bit that came moves."""
         cost = np.zeros(len(off) - 1)
         if not len(data):
             return cost
         at, x_of, seen_of = self._signed(data, off)
-        size = np.diff(off)
+        blocks = -(-np.diff(off) // BLOCK)
+        owner = np.repeat(np.arange(len(blocks)), blocks)
+        begin = off[:-1][owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
+        size = np.minimum(off[1:][owner] - begin, BLOCK)
         rows = np.argsort(-size, kind="stable")
-        start, size = off[:-1][rows], size[rows]
+        start, size = begin[rows], size[rows]
         live = np.searchsorted(-size, -np.arange(int(size[0])), side="left").tolist()  # rows longer than t
         weights = np.repeat(START[:, None], len(rows) * SETS, axis=1)
         base = np.arange(len(rows)) * SETS
@@ -357,8 +364,7 @@ class Coder:
             x *= z
             w -= x
             weights[:, sets] = w
-        cost[rows] = total / _LN2
-        return cost
+        return np.bincount(owner[rows], total / _LN2, minlength=len(cost))
 
 
 _CODERS: dict[str, Coder] = {}
