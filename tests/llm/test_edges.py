@@ -262,3 +262,38 @@ def test_toxicity_ties_and_repeats_score_alike(spark):
     model = toxicity.Model(np.random.default_rng(0).normal(0, 1, toxicity.DIM), 0.0)
     got = toxicity.score(docs, model).collect()
     assert len(got) == 4 and len({r.p_toxic for r in got}) == 1
+
+
+# top-k search
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_topk_in_rounds_and_sets(spark, monkeypatch, small):
+    from pyspark.sql import functions as F
+
+    from tessera.llm import topk
+
+    if small:  # many blocks, files, sets and rounds
+        for name, value in (("BLOCK", 16), ("PER_FILE", 4), ("FIRST", 20), ("GROWTH", 3), ("ROUND_BYTES", 16 * 10 * 8)):
+            monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(500, 10)) * rng.exponential(1, (500, 1))
+    x[40:60] = x[10]  # ties
+    rows = [(k, v.tolist(), "c") for k, v in enumerate(x)] + [(100, x[3].tolist(), "again"), (None, x[0].tolist(), "n"), (901, None, "n")]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, ask string")
+    got = defaultdict(list)
+    for r in topk.neighbours(df, 7, asks=F.col("vec_id") % 50 == 0).collect():
+        got[r.id].append((r.rank, r.neighbour, r.score))
+    ids = np.array([*range(500), 100])
+    every = np.vstack([x, x[3]])
+    s = np.round(every @ every.T, topk.DECIMALS)
+    for q in range(0, 500, 50):
+        want = []
+        for row in np.flatnonzero(ids == q):
+            near = sorted((j for j in range(501) if ids[j] != q), key=lambda j: (-s[row, j], ids[j]))[:7]
+            want += [(k + 1, int(ids[j]), s[row, j]) for k, j in enumerate(near)]
+        assert sorted((a, b) for a, b, _ in got[q]) == sorted((a, b) for a, b, _ in want)
+        assert np.allclose(sorted(c for *_, c in got[q]), sorted(c for *_, c in want), atol=1e-8)
+    assert set(got) == set(range(0, 500, 50))
+    assert topk.neighbours(df.limit(0)).count() == 0 and topk.neighbours(df.limit(1)).count() == 0
+    assert topk.neighbours(df, asks=F.lit(None).cast("boolean")).count() == 0
