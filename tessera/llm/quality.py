@@ -1,7 +1,7 @@
 """Operator 6: document quality by attention-based multiple-instance learning.
 
 A document is a bag of passages of at most ``PASSAGE`` bytes that together cover its whole text.
-Each passage is encoded, gated attention (a tanh branch times a sigmoid branch) weighs the passages, and the weighted sum of the
+Each passage is encoded from its words (as shares of hashed buckets), its characters and its repetitions, gated attention (a tanh branch times a sigmoid branch) weighs the passages, and the weighted sum of the
 encodings gives the score. Only documents have labels; the attention is learnt from them.
 """
 
@@ -48,8 +48,10 @@ for _b in range(256):
     elif _c in "|<>{}[]=_\\/":
         _CLASS[_b] = 8
 CLASSES = 10
-#: Features of a passage: class shares, word statistics, repetition, length, and the shares of word lengths.
-WIDTH = CLASSES + 8 + 12
+#: Buckets into which the words of a passage are hashed.
+WORD_BUCKETS = 128
+#: Features of a passage: class shares, word statistics, repetition, length, the shares of word lengths, and of hashed words.
+WIDTH = CLASSES + 8 + 12 + WORD_BUCKETS
 
 
 def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +90,10 @@ def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             kinds / many, words / length, np.log1p(length) / 7,
             (words == 0).astype(float), (share[:, 5] > 0).astype(float),
         ], axis=1)
-        parts.append(np.hstack([share, stats, hist]))
-    x = np.vstack(parts) if parts else np.zeros((0, WIDTH))
+        bucket = (w.hash >> np.uint64(57)).astype(np.int64)
+        bag = np.bincount(row * WORD_BUCKETS + bucket, minlength=total * WORD_BUCKETS).reshape(total, WORD_BUCKETS) / many[:, None]
+        parts.append(np.hstack([share, stats, hist, bag]).astype(np.float32))
+    x = np.vstack(parts) if parts else np.zeros((0, WIDTH), np.float32)
     n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
     return x, np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
 
@@ -129,36 +133,47 @@ def forward(p: dict, x: np.ndarray, first: np.ndarray):
     return y, (h, tv, su, att, bag, size)
 
 
-def train(x: np.ndarray, bounds: np.ndarray, label: np.ndarray, weight: np.ndarray, steps: int = 300, rate: float = 0.02, l2: float = 1e-4) -> Model:
-    """Adam on the weighed logistic loss over whole bags, from a fixed seed."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    x = (x - mean) / scale
+def objective(p: dict, x: np.ndarray, first: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
+    """The weighed logistic loss over whole bags, and its gradient."""
+    y, (h, tv, su, att, bag, size) = forward(p, x, first)
+    loss = -float((weight * (label * np.log(np.clip(y, 1e-12, 1)) + (1 - label) * np.log(np.clip(1 - y, 1e-12, 1)))).sum())
+    dz = (weight * (y - label)).astype(x.dtype)
+    g = {"c": bag.T @ dz, "d": np.array([dz.sum()], x.dtype)}
+    dbag = np.repeat(dz[:, None] * p["c"][None, :], size, axis=0)
+    datt = (dbag * h).sum(axis=1)
+    de = att * (datt - np.repeat(np.add.reduceat(att * datt, first), size))
+    g["a"] = (tv * su).T @ de
+    dtv = de[:, None] * p["a"] * su * (1 - tv**2)
+    dsu = de[:, None] * p["a"] * tv * su * (1 - su)
+    g["v"], g["u"] = h.T @ dtv, h.T @ dsu
+    dh = (att[:, None] * dbag + dtv @ p["v"].T + dsu @ p["u"].T) * (1 - h**2)
+    g["w"], g["b"] = x.T @ dh, dh.sum(axis=0)
+    return loss, g
+
+
+def start(width: int, dtype=np.float32) -> dict:
     rng = np.random.default_rng(7)
     p = {
-        "w": rng.normal(0, WIDTH**-0.5, (x.shape[1], HIDDEN)), "b": np.zeros(HIDDEN), "v": rng.normal(0, HIDDEN**-0.5, (HIDDEN, ATTENTION)),
+        "w": rng.normal(0, width**-0.5, (width, HIDDEN)), "b": np.zeros(HIDDEN), "v": rng.normal(0, HIDDEN**-0.5, (HIDDEN, ATTENTION)),
         "u": rng.normal(0, HIDDEN**-0.5, (HIDDEN, ATTENTION)), "a": rng.normal(0, 0.3, ATTENTION), "c": rng.normal(0, 0.3, HIDDEN), "d": np.zeros(1),
     }
+    return {k: q.astype(dtype) for k, q in p.items()}
+
+
+def train(x: np.ndarray, bounds: np.ndarray, label: np.ndarray, weight: np.ndarray, steps: int = 200, rate: float = 0.02, l2: float = 1e-3) -> Model:
+    """Adam on the weighed logistic loss over whole bags, from a fixed seed."""
+    mean, scale = x.mean(axis=0), x.std(axis=0) + np.float32(1e-3)
+    x = (x - mean) / scale
+    p = start(x.shape[1])
     m = {k: np.zeros_like(q) for k, q in p.items()}
     s = {k: np.zeros_like(q) for k, q in p.items()}
-    first = bounds[:-1]
     for t in range(1, steps + 1):
-        y, (h, tv, su, att, bag, size) = forward(p, x, first)
-        dz = weight * (y - label)
-        g = {"c": bag.T @ dz, "d": np.array([dz.sum()])}
-        dbag = np.repeat(dz[:, None] * p["c"][None, :], size, axis=0)
-        datt = (dbag * h).sum(axis=1)
-        de = att * (datt - np.repeat(np.add.reduceat(att * datt, first), size))
-        g["a"] = (tv * su).T @ de
-        dtv = de[:, None] * p["a"] * su * (1 - tv**2)
-        dsu = de[:, None] * p["a"] * tv * su * (1 - su)
-        g["v"], g["u"] = h.T @ dtv, h.T @ dsu
-        dh = (att[:, None] * dbag + dtv @ p["v"].T + dsu @ p["u"].T) * (1 - h**2)
-        g["w"], g["b"] = x.T @ dh, dh.sum(axis=0)
+        _, g = objective(p, x, bounds[:-1], label, weight)
         for k in p:
-            q = g[k] + l2 * p[k]
-            m[k] = 0.9 * m[k] + 0.1 * q
-            s[k] = 0.99 * s[k] + 0.01 * q * q
-            p[k] = p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)
+            q = g[k] + np.float32(l2) * p[k]
+            m[k] = np.float32(0.9) * m[k] + np.float32(0.1) * q
+            s[k] = np.float32(0.99) * s[k] + np.float32(0.01) * q * q
+            p[k] = p[k] - np.float32(rate / (1 - 0.9**t)) * m[k] / (np.sqrt(s[k] / np.float32(1 - 0.99**t)) + np.float32(1e-8))
     return Model(mean, scale, p)
 
 
@@ -180,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS, id_c
         return None
     f = got.column("f").combine_chunks()
     f = f if isinstance(f, pa.Array) else pa.concat_arrays(f.chunks)
-    x = f.flatten().to_numpy().astype(np.float64).reshape(-1, WIDTH)
+    x = f.flatten().to_numpy().reshape(-1, WIDTH)
     size = f.value_lengths().to_numpy() // WIDTH
     prior = min(max(share, 0.01), 0.99)
 

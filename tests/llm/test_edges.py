@@ -297,3 +297,59 @@ def test_topk_in_rounds_and_sets(spark, monkeypatch, small):
     assert set(got) == set(range(0, 500, 50))
     assert topk.neighbours(df.limit(0)).count() == 0 and topk.neighbours(df.limit(1)).count() == 0
     assert topk.neighbours(df, asks=F.lit(None).cast("boolean")).count() == 0
+
+
+# quality
+
+
+def test_quality_gradient():
+    from tessera.llm import quality
+
+    texts = [prose(1, 300), "buy now !!! " * 30, "short", prose(5, 700), "x"]
+    x, bounds = quality.passages(pa.array(texts))
+    x = (x - x.mean(0)) / (x.std(0) + 1e-3)
+    x = x.astype(np.float64)
+    p = quality.start(x.shape[1], np.float64)
+    y, weight = np.array([1.0, 0, 1, 1, 0]), np.array([0.3, 0.2, 0.1, 0.2, 0.2])
+    _, g = quality.objective(p, x, bounds[:-1], y, weight)
+    rng = np.random.default_rng(0)
+    for name in p:
+        for _ in range(5):
+            at = tuple(int(rng.integers(0, n)) for n in p[name].shape)
+            slope = 0.0
+            for sign in (1, -1):
+                moved = {k: q.copy() for k, q in p.items()}
+                moved[name][at] += sign * 1e-6
+                slope += sign * quality.objective(moved, x, bounds[:-1], y, weight)[0] / 2e-6
+            assert abs(slope - g[name][at]) < 1e-6, name
+
+
+def test_quality_learns_words_and_weighs_passages(spark):
+    """Good and bad texts differ in words only, and only in one passage of several."""
+    from tessera.llm import quality
+
+    def text(k):
+        parts = [prose(k * 10 + j, 60) for j in range(4)]
+        parts[k % 4] = ("careful measured argument evidence " if k % 2 else "miracle instant profit bonus ") * 10
+        return " ".join(parts)
+
+    docs = spark.createDataFrame([(k, text(k)) for k in range(300)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id bigint, quality int")
+    model = quality.fit(docs, labels)
+    held = [r for r in quality.score(docs, model).collect() if r.doc_id >= 200]
+    assert np.mean([r.keep == (r.doc_id % 2 == 1) for r in held]) >= 0.9
+    x, bounds = quality.passages(pa.array([text(1)]))
+    assert np.isclose(quality.forward(model.p, (x - model.mean) / model.scale, bounds[:-1])[1][3].sum(), 1)
+    same = quality.score(docs.where("doc_id = 3").unionByName(docs.where("doc_id = 3")), model).collect()
+    assert len(same) == 2 and same[0].quality == same[1].quality
+
+
+def test_quality_on_held_out_labels(spark):
+    from tessera.llm import quality
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels.where("doc_id % 3 <> 0"))
+    got = quality.score(docs, model).join(labels.where("doc_id % 3 = 0").selectExpr("doc_id", "quality y"), "doc_id").collect()
+    for y in (0, 1):
+        own = [r.keep == bool(y) for r in got if r.y == y]
+        assert len(own) > 10 and np.mean(own) >= 0.9
