@@ -33,7 +33,7 @@ def leaves(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     p = pages.where(col(id_col).isNotNull()).select(col(id_col).cast("bigint").alias("page_id"), record(col(id_col), col(url_col), col(html_col)).alias("r"))
     one = p.select("page_id", F.octet_length("r").cast("bigint").alias("length"), F.sha2("r", 256).alias("hash"))
     return one.groupBy("page_id").agg(F.sum("length").alias("length"), F.when(F.count("*") == 1, F.min("hash")).otherwise(F.sha2(F.array_join(F.array_sort(F.collect_list("hash")), ""), 256)).alias("hash")).select(
-        F.expr(f"floor(page_id / {SEGMENT}d)").cast("bigint").alias("segment"), F.pmod("page_id", F.lit(SEGMENT)).cast("bigint").alias("place"), "page_id", "length", "hash"
+        F.shiftright("page_id", SEGMENT.bit_length() - 1).alias("segment"), F.pmod("page_id", F.lit(SEGMENT)).cast("bigint").alias("place"), "page_id", "length", "hash"
     )
 
 
@@ -44,10 +44,10 @@ def parents(level: DataFrame, place: str, out: str) -> DataFrame:
 
 
 def tree(pages: DataFrame, **columns: str) -> list[DataFrame]:
-    """Levels of a replica, leaves first; the last has the root of each segment. The leaves are written once and all levels read them."""
+    """Levels of a replica, leaves first; the last has the root of each segment. Each level is written once, so a descent reads nodes and hashes none again."""
     levels = [cut(leaves(pages, **columns), "leaves")]
-    for k in range(_LEVELS):
-        levels.append(parents(levels[-1], "place", "place"))
+    for _ in range(_LEVELS):
+        levels.append(cut(parents(levels[-1], "place", "place"), "nodes"))
     return levels
 
 
