@@ -258,29 +258,32 @@ def fit(docs: DataFrame, text_col: str = "text") -> Counts:
     return Counts(folder, np.unique(got.column("first").combine_chunks().flatten().to_numpy() if got.num_rows else np.zeros(0, np.int64)), one)
 
 
+#: By the exclusive or of two bytes, how many of their first bits agree; -1 for more than a byte.
+_AGREE = np.array([8 - x.bit_length() for x in range(256)] + [-1], np.int8)
+
+
 def own_totals(row: np.ndarray, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
     """What ``Counts.totals`` would give for each row's n-grams if only that row were counted. ``keys`` came ``n`` times in ``row`` (below 2^24)."""
     out = np.empty((len(keys), ORDERS, 9), np.float32)
+    if not len(keys):
+        return out
     top = row.astype(np.uint64) << np.uint64(40)
     for o in range(1, ORDERS + 1):
         k = top | context_bytes(keys, o)
         by = np.argsort(k)
-        k, c = k[by], n[by]
-        at = by  # where the rows of ``level`` go
-        head = np.append(True, k[1:] != k[:-1])
-        group = np.cumsum(head) - 1
-        k, c = k[head], np.add.reduceat(c, np.flatnonzero(head))
+        k = k[by]
+        head = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        ends = np.append(head, len(k))
+        upto = np.append(0, np.cumsum(n[by]))[ends]
+        k = k[head]
+        agree = _AGREE[np.minimum(k[1:] ^ k[:-1], np.uint64(256)).astype(np.intp)]
         level = np.empty((len(k), 9), np.float32)
-        level[:, 8] = c
-        up = np.arange(len(k))
-        for i in range(7, -1, -1):
-            k = k >> np.uint64(1)
-            head = np.append(True, k[1:] != k[:-1])
-            if not head.all():
-                up = (np.cumsum(head) - 1)[up]
-                k, c = k[head], np.add.reduceat(c, np.flatnonzero(head))
-            level[:, i] = c[up]
-        out[at, o - 1] = level[group]
+        level[:, 8] = upto[1:] - upto[:-1]
+        for i in range(8):  # the n-grams that share their context and first i bits lie side by side
+            at = np.flatnonzero(agree < i) + 1
+            a, b = np.append(0, at), np.append(at, len(k))
+            level[:, i] = np.repeat((upto[b] - upto[a]).astype(np.float32), b - a)
+        out[by, o - 1] = np.repeat(level, np.diff(ends), axis=0) if len(head) < len(by) else level
     return out
 
 
