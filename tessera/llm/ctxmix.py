@@ -398,7 +398,7 @@ def score(docs: DataFrame, table: Counts | None = None, id_col: str = "doc_id",
         order = np.argsort(np.diff(tn.flat(text)[1]), kind="stable")
         data, off = tn.flat(text.take(pa.array(order)))
         out = np.zeros(len(order))
-        for i, j in tn.slices(off, 3 << 19):
+        for i, j in tn.slices(off, 3 << 18):
             out[order[i:j]] = coder.bits(data[off[i] : off[j]], off[i : j + 1] - off[i])
         return pa.array(out, mask=np.asarray(text.is_null()))
 
