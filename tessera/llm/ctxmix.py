@@ -1,6 +1,6 @@
 """Operator 5: bits per byte of each document by online logistic context mixing.
 
-Each byte is predicted bit by bit by one predictor for each context order (the last 1 to 4 bytes).
+Each byte is predicted bit by bit by one predictor for each context order (the last 1, 2 and 4 bytes).
 A predictor looks its context and the bits of the byte so far up in exact corpus-wide counts, which grow with the corpus,
 and gives the log odds of a one, scaled by a gate that opens with the number of observations. The log odds
 are added under a weight set that the bit's position and the number of orders that know the context select; every block of ``BLOCK`` bytes starts from the same
@@ -22,7 +22,10 @@ from pyspark.sql import types as T
 from . import textnum as tn
 from .common import col, cut, shared_dir
 
+#: Bytes of context that an n-gram has.
 ORDERS = 4
+#: Bytes of context of each predictor, from the nearest.
+USED = (1, 2, 4)
 #: Step by which a bit's coding error moves the weights that predicted it.
 RATE = np.float32(0.02)
 #: Bytes after which a text's weights start anew, so that the blocks of a long text are coded side by side. Contexts go on across blocks.
@@ -30,9 +33,9 @@ BLOCK = 4096
 #: Bytes whose log odds are computed at once; what they need stays in the processor's cache.
 CHUNK = 1 << 15
 #: Weight sets of each bit position: one for each number of orders that know the context.
-SETS = ORDERS + 1
+SETS = len(USED) + 1
 #: Weights of each set against what comes, by (order, bit), before the first byte.
-START = np.full((ORDERS, 8), -0.3, np.float32)
+START = np.full((len(USED), 8), -0.33, np.float32)
 _CLIP = 8.0
 _ONE = np.float32(1)
 #: Mixed log odds are held within this; eight factors 1 + e^10 fit a float32.
@@ -157,7 +160,7 @@ PART = 1 << 20
 
 
 def _write_parts(folder: str):
-    """Writes a part's counts of orders 2 and up; gives its first two context bytes and its counts of order 1."""
+    """Writes a part's counts of the orders over 1; gives its first two context bytes and its counts of order 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches if b.num_rows]
@@ -166,7 +169,7 @@ def _write_parts(folder: str):
         key, n = (np.concatenate(x) for x in zip(*held))
         del held
         first = int((key >> np.uint64(16) & np.uint64(0xFFFF)).min())
-        for o in range(2, ORDERS + 1):
+        for o in USED[1:]:
             k, c = _summed(context_bytes(key, o), n)
             for what, x in (("key", k), ("sum", np.append(0, np.cumsum(c)))):
                 draft = f"{folder}/{uuid.uuid4().hex}.tmp"
@@ -198,15 +201,15 @@ class Counts:
         return self.open[part, order]
 
     def totals(self, keys: np.ndarray) -> np.ndarray:
-        """``(len(keys), ORDERS, 9)``: how often the context came with the first 0 to 8 bits of the key's byte."""
-        out = np.zeros((len(keys), ORDERS, 9), np.float32)
+        """``(len(keys), len(USED), 9)``: how often the context came with the first 0 to 8 bits of the key's byte."""
+        out = np.zeros((len(keys), len(USED), 9), np.float32)
         if not len(self.first):
             return out
         by = np.argsort(context_bytes(keys, ORDERS))
         keys = keys[by]
         part = np.searchsorted(self.first, (keys >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.int64), side="right") - 1
         got = np.zeros_like(out)
-        for o in range(1, ORDERS + 1):
+        for place, o in enumerate(USED):
             k = context_bytes(keys, o)
             if o == 1:
                 spans = [(0, len(k), None, self.one)]
@@ -219,7 +222,7 @@ class Counts:
                     high = low + np.uint64(1 << (8 - i))
                     if known is not None:
                         low, high = np.searchsorted(known, low), np.searchsorted(known, high)
-                    got[a:b, o - 1, i] = sums[high] - sums[low]
+                    got[a:b, place, i] = sums[high] - sums[low]
         out[by] = got
         return out
 
@@ -264,11 +267,11 @@ _AGREE = np.array([8 - x.bit_length() for x in range(256)] + [-1], np.int8)
 
 def own_totals(row: np.ndarray, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
     """What ``Counts.totals`` would give for each row's n-grams if only that row were counted. ``keys`` came ``n`` times in ``row`` (below 2^24)."""
-    out = np.empty((len(keys), ORDERS, 9), np.float32)
+    out = np.empty((len(keys), len(USED), 9), np.float32)
     if not len(keys):
         return out
     top = row.astype(np.uint64) << np.uint64(40)
-    for o in range(1, ORDERS + 1):
+    for place, o in enumerate(USED):
         k = top | context_bytes(keys, o)
         by = np.argsort(k)
         k = k[by]
@@ -283,7 +286,7 @@ def own_totals(row: np.ndarray, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
             at = np.flatnonzero(agree < i) + 1
             a, b = np.append(0, at), np.append(at, len(k))
             level[:, i] = np.repeat((upto[b] - upto[a]).astype(np.float32), b - a)
-        out[by, o - 1] = np.repeat(level, np.diff(ends), axis=0) if len(head) < len(by) else level
+        out[by, place] = np.repeat(level, np.diff(ends), axis=0) if len(head) < len(by) else level
     return out
 
 
@@ -297,7 +300,7 @@ class Coder:
 
     def _forget(self) -> None:
         self.grams = Grams()
-        self.totals = np.zeros((1 << 16, ORDERS, 9), np.float32)
+        self.totals = np.zeros((1 << 16, len(USED), 9), np.float32)
         self.done = 0
 
     def _numbers(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -306,7 +309,7 @@ class Coder:
             self._forget()
         which = self.grams.number(ngram_keys(data, off))
         if self.grams.n > len(self.totals):
-            more = np.zeros((self.grams.n * 5 // 4, ORDERS, 9), np.float32)
+            more = np.zeros((self.grams.n * 5 // 4, len(USED), 9), np.float32)
             more[: self.done] = self.totals[: self.done]
             self.totals = more
         for a in range(self.done, self.grams.n, 1 << 16):
@@ -329,12 +332,11 @@ class Coder:
             total = self.totals[gram]
             if self.within:
                 total -= own_totals(pair >> 32, self.grams.keys[gram], count)
-                np.maximum(total, 0, out=total)
             at[off[i] : off[j]] = place + n
-            xs.append(np.ascontiguousarray(stretch(total).transpose(1, 0, 2)))
-            seen.append((total[:, :, 0] > 0).sum(axis=1))
+            xs.append(stretch(total))
+            seen.append(np.count_nonzero(total[:, :, 0], axis=1))
             n += len(pair)
-        return at, np.concatenate(xs, axis=1), np.concatenate(seen)
+        return at, np.concatenate(xs), np.concatenate(seen)
 
     def bits(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Bits that each row's bytes cost. All blocks of all rows go on a byte at a time; each has weights of its own, which every bit that came moves."""
@@ -349,24 +351,24 @@ class Coder:
         rows = np.argsort(-size, kind="stable")
         start, size = begin[rows], size[rows]
         live = np.searchsorted(-size, -np.arange(int(size[0])), side="left").tolist()  # rows longer than t
-        weights = np.repeat(START[:, None], len(rows) * SETS, axis=1)
+        weights = np.repeat(START[None], len(rows) * SETS, axis=0)
         base = np.arange(len(rows)) * SETS
         total = np.zeros(len(rows))
         for t, n in enumerate(live):
             here = at.take(start[:n] + t)
-            x = x_of.take(here, axis=1)
+            x = x_of.take(here, axis=0)
             sets = base[:n] + seen_of.take(here)
-            w = weights.take(sets, axis=1)
-            z = np.add.reduce(w * x, axis=0)  # of each bit: log odds against what came
+            w = weights.take(sets, axis=0)
+            z = np.einsum("noi,noi->ni", w, x)  # of each bit: log odds against what came
             np.minimum(z, _LIMIT, out=z)
             np.exp(z, out=z)
             one = z + _ONE
             total[:n] += np.log(np.multiply.reduce(one, axis=1))
             z /= one  # the coding error of each bit
             z *= RATE
-            x *= z
+            x *= z[:, None]
             w -= x
-            weights[:, sets] = w
+            weights[sets] = w
         return np.bincount(owner[rows], total / _LN2, minlength=len(cost))
 
 
