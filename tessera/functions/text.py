@@ -35,22 +35,49 @@ def fold(term: Column) -> Column:
     return F.translate(F.lower(term), FOLD_FROM, FOLD_TO)
 
 
+def raw_tokens(text: Column) -> Column:
+    """Tokens of the index as they stand in the text."""
+    return F.regexp_extract_all(text, F.lit(INDEXED), F.lit(0))
+
+
 def index_tokens(text: Column) -> Column:
     """Tokens of the index: lower case, combining marks of decomposable letters dropped."""
-    return F.transform(F.regexp_extract_all(text, F.lit(INDEXED), F.lit(0)), fold)
+    return F.transform(raw_tokens(text), fold)
 
 
-def shingles(tokens: Column, n: int) -> Column:
-    """Windows of ``n`` lower-cased tokens joined by blanks, in order. A shorter, non-empty stream is one window; an empty one has none.
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once: a lambda's variable is not written out anew at each place that uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
-    Shifted copies are zipped, so no lambda captures the token expression: it would be evaluated anew for every window."""
-    low = F.transform(tokens, lambda x: F.lower(x))
-    size = F.size(tokens)
-    joined = low
+def _windows(low: Column, n: int, first, more) -> Column:
+    """Array of windows of ``n`` items of ``low``, each put together from its first item by ``first`` and the others by ``more``."""
+    size = F.size(low)
+    joined = F.transform(low, first)
     for k in range(1, n):
-        joined = F.zip_with(joined, F.slice(low, F.lit(k + 1), F.greatest(size - k, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    windows = F.slice(joined, F.lit(1), F.greatest(size - n + 1, F.lit(0)))
-    return F.when(size == 0, F.array().cast("array<string>")).when(size < n, F.array(F.array_join(low, " "))).otherwise(windows)
+        joined = F.zip_with(joined, F.slice(low, F.lit(k + 1), F.greatest(size - k, F.lit(0))), more)
+    return F.slice(joined, F.lit(1), F.greatest(size - n + 1, F.lit(0)))
+
+
+def shingles(tokens: Column, n: int) -> Column:
+    """Windows of ``n`` lower-cased tokens joined by blanks, in order. A shorter, non-empty stream is one window; an empty one has none."""
+
+    def of(low: Column) -> Column:
+        windows = _windows(low, n, lambda x: x, lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.when(F.size(low) == 0, F.array().cast("array<string>")).when(F.size(low) < n, F.array(F.array_join(low, " "))).otherwise(windows)
+
+    return let(F.transform(tokens, lambda x: F.lower(x)), of)
+
+
+def shingle_hashes(tokens: Column, n: int) -> Column:
+    """A 64-bit number for each of ``shingles``, in order; no window's text is put together."""
+
+    def of(low: Column) -> Column:
+        windows = _windows(low, n, lambda x: F.xxhash64(x), lambda h, x: F.xxhash64(h, x))
+        whole = F.aggregate(low, F.lit(0).cast("bigint"), lambda h, x: F.xxhash64(h, x))
+        return F.when(F.size(low) == 0, F.array().cast("array<bigint>")).when(F.size(low) < n, F.array(whole)).otherwise(windows)
+
+    return let(F.transform(tokens, lambda x: F.lower(x)), of)
 
 
 def compact(decoded: Column) -> Column:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.config import AUDIT, QUOTE_BYTES, AuditConfig
 from tessera.functions import text as X
+from tessera.functions.codec import fingerprint
 from tessera.operators import shingles as S
+from tessera.tables import keep
 
 
 def clip(text: Column, most: int = QUOTE_BYTES) -> Column:
@@ -19,21 +21,32 @@ def clip(text: Column, most: int = QUOTE_BYTES) -> Column:
     return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(F.element_at(fit, 1), F.lit("...")))
 
 
-def tokenized(pages: DataFrame) -> DataFrame:
-    """``pages(page_key, section, source_rel, ref, md)`` with ``ref_tokens`` and ``md_tokens``; the whole Markdown counts."""
-    return pages.select("page_key", "section", "source_rel", X.words(F.col("ref")).alias("ref_tokens"), X.words(F.col("md")).alias("md_tokens"))
+def tokenized(pages: DataFrame, cfg: AuditConfig = AUDIT) -> DataFrame:
+    """``pages(page_key, section, source_rel, ref, md)`` with ``ref`` and ``md`` as structs of ``tokens`` and shingle numbers ``h``. The whole Markdown
+    counts. It is a table of its own, so that no later step splits a text again."""
+    both = lambda c: X.let(X.words(F.col(c)), lambda w: F.struct(w.alias("tokens"), X.shingle_hashes(w, cfg.n).alias("h")))
+    return keep(pages.select("page_key", "section", "source_rel", both("ref").alias("ref"), both("md").alias("md")), "tokens")
 
 
-def missing_windows(tokens: DataFrame, cfg: AuditConfig = AUDIT) -> DataFrame:
-    """``(page_key, pos, shingle)``: windows of the source that are no page furniture and that the page's copy doesn't have.
+def counted(tokens: DataFrame) -> DataFrame:
+    """``shingles.frequencies`` as a table of its own."""
+    return keep(S.frequencies(tokens), "frequencies")
+
+
+def checkable(cfg: AuditConfig) -> Column:
+    """Whether a shingle is no page furniture."""
+    return (F.col("ref_df") <= cfg.max_df) | (F.col("md_df") >= cfg.content_min_df)
+
+
+def missing_windows(tokens: DataFrame, df: DataFrame, cfg: AuditConfig = AUDIT) -> DataFrame:
+    """``(page_key, pos, h)``: windows of the source that are no page furniture and that the page's copy doesn't have.
 
     What a page's copy lacks is found inside its row, so only pages that lack something are exploded, and only their distinct
     missing windows meet the frequencies."""
-    ref = X.shingles(F.col("ref_tokens"), cfg.n)
-    lacking = tokens.where(F.size("ref_tokens") >= cfg.n).withColumn("gone", F.array_except(ref, X.shingles(F.col("md_tokens"), cfg.n))).where(F.size("gone") > 0)
-    gone = lacking.select("page_key", F.explode("gone").alias("shingle")).join(S.both_frequencies(tokens, cfg.n), "shingle")
-    gone = gone.where((F.col("ref_df") <= cfg.max_df) | (F.col("md_df") >= cfg.content_min_df)).select("page_key", "shingle")
-    return S.windows(lacking, "ref_tokens", cfg.n).join(gone, ["page_key", "shingle"], "left_semi").select("page_key", "pos", "shingle")
+    lacking = tokens.where(F.size("ref.tokens") >= cfg.n).select("page_key", F.col("ref.h").alias("all"), F.array_except("ref.h", "md.h").alias("gone")).where(F.size("gone") > 0)
+    gone = lacking.select("page_key", F.explode("gone").alias("h")).join(df.where(checkable(cfg)).select("h"), "h", "left_semi")
+    each = lacking.select("page_key", F.posexplode("all").alias("p", "h")).select("page_key", F.col("p").cast("bigint").alias("pos"), "h")
+    return each.join(gone, ["page_key", "h"], "left_semi").select("page_key", "pos", "h")
 
 
 def missing_runs(missing: DataFrame, cfg: AuditConfig = AUDIT) -> DataFrame:
@@ -43,57 +56,58 @@ def missing_runs(missing: DataFrame, cfg: AuditConfig = AUDIT) -> DataFrame:
     return r.where(F.col("windows") >= cfg.run).select("page_key", "start", "windows")
 
 
-def short_pages(tokens: DataFrame, cfg: AuditConfig = AUDIT) -> DataFrame:
+def short_pages(tokens: DataFrame, df: DataFrame, cfg: AuditConfig = AUDIT) -> DataFrame:
     """``(page_key, quote)`` of non-empty pages under ``n`` tokens, no furniture, whose tokens the copy doesn't have in sequence."""
-    s = tokens.where((F.size("ref_tokens") > 0) & (F.size("ref_tokens") < cfg.n)).withColumn("shingle", X.shingles(F.col("ref_tokens"), cfg.n)[0])
-    s = s.where(~X.contains_run(F.col("md_tokens"), F.col("ref_tokens")))
-    df = S.both_frequencies(tokens, cfg.n)
-    s = s.join(df, "shingle", "left").where((F.col("ref_df") <= cfg.max_df) | (F.col("md_df") >= cfg.content_min_df))
-    return s.select("page_key", clip(F.array_join("ref_tokens", " ")).alias("quote"))
+    s = tokens.where((F.size("ref.tokens") > 0) & (F.size("ref.tokens") < cfg.n)).where(~X.contains_run(F.col("md.tokens"), F.col("ref.tokens")))
+    s = s.select("page_key", "ref.tokens", F.col("ref.h")[0].alias("h")).join(df.where(checkable(cfg)).select("h"), "h", "left_semi")
+    return s.select("page_key", clip(F.array_join("tokens", " ")).alias("quote"))
 
 
 def quotes(runs: DataFrame, tokens: DataFrame, cfg: AuditConfig = AUDIT) -> DataFrame:
     """``(page_key, start, quote)`` of each page's first ``max_quotes`` runs: the source tokens that the run's windows cover."""
     w = Window.partitionBy("page_key").orderBy("start")
     first = runs.withColumn("k", F.row_number().over(w)).where(F.col("k") <= cfg.max_quotes)
-    j = first.join(tokens.select("page_key", "ref_tokens"), "page_key")
-    span = F.slice("ref_tokens", F.col("start").cast("int") + 1, F.col("windows").cast("int") + cfg.n - 1)
+    j = first.join(tokens.select("page_key", "ref.tokens"), "page_key")
+    span = F.slice("tokens", F.col("start").cast("int") + 1, F.col("windows").cast("int") + cfg.n - 1)
     return j.select("page_key", "start", clip(F.array_join(span, " ")).alias("quote"))
 
 
-def section_medians(tokens: DataFrame, cfg: AuditConfig = AUDIT) -> DataFrame:
+def sizes(tokens: DataFrame) -> DataFrame:
+    """``(page_key, section, source_rel, ref_tokens, md_tokens)``, the last two as numbers."""
+    return tokens.select("page_key", "section", "source_rel", F.size("ref.tokens").cast("bigint").alias("ref_tokens"), F.size("md.tokens").cast("bigint").alias("md_tokens"))
+
+
+def section_medians(size: DataFrame, cfg: AuditConfig = AUDIT) -> DataFrame:
     """``(section, median_ratio)``: exact median of copy to source tokens over pages long enough."""
-    ratio = F.size("md_tokens") / F.size("ref_tokens")
-    return tokens.where(F.size("ref_tokens") >= F.greatest(F.lit(cfg.ratio_min_tokens), F.lit(1))).groupBy("section").agg(F.median(ratio).alias("median_ratio"))
+    ratio = F.col("md_tokens") / F.col("ref_tokens")
+    return size.where(F.col("ref_tokens") >= F.greatest(F.lit(cfg.ratio_min_tokens), F.lit(1))).groupBy("section").agg(F.median(ratio).alias("median_ratio"))
 
 
-def ratio_outliers(tokens: DataFrame, cfg: AuditConfig = AUDIT) -> DataFrame:
+def ratio_outliers(size: DataFrame, cfg: AuditConfig = AUDIT) -> DataFrame:
     """``(page_key, section, ref_tokens, md_tokens, ratio, ratio_outlier, ratio_gated)`` of pages far under their section's median."""
-    r = tokens.select("page_key", "section", F.size("ref_tokens").cast("bigint").alias("ref_tokens"), F.size("md_tokens").cast("bigint").alias("md_tokens"))
-    r = r.where((F.col("ref_tokens") > 0) & (F.col("ref_tokens") >= cfg.ratio_min_tokens)).withColumn("ratio", F.col("md_tokens") / F.col("ref_tokens"))
-    j = r.join(F.broadcast(section_medians(tokens, cfg)), "section").where("median_ratio > 0")  # one row for each section
+    r = size.where((F.col("ref_tokens") > 0) & (F.col("ref_tokens") >= cfg.ratio_min_tokens)).withColumn("ratio", F.col("md_tokens") / F.col("ref_tokens"))
+    j = r.join(F.broadcast(section_medians(size, cfg)), "section").where("median_ratio > 0")  # one row for each section
     j = j.withColumn("ratio_outlier", F.col("ratio") < F.lit(cfg.ratio_factor) * F.col("median_ratio")).withColumn("ratio_gated", F.col("ratio") < F.lit(cfg.ratio_gate_factor) * F.col("median_ratio"))
     return j.where("ratio_outlier").select("page_key", "section", "ref_tokens", "md_tokens", "ratio", "ratio_outlier", "ratio_gated")
 
 
-def flags(pages: DataFrame, cfg: AuditConfig = AUDIT) -> DataFrame:
+def flags(tokens: DataFrame, df: DataFrame, cfg: AuditConfig = AUDIT) -> DataFrame:
     """A row for each suspicious page: spans and windows that are missing, samples of them, and the ratio tiers.
 
     ``missing_shingle_count`` counts every missing window of a page with a run, runs too short to count included."""
-    t = tokenized(pages)
-    gone = missing_windows(t, cfg)
+    gone = keep(missing_windows(tokens, df, cfg), "missing")
     runs = missing_runs(gone, cfg)
     spans = runs.groupBy("page_key").agg(F.count("*").alias("missing_span_count"))
     total = gone.groupBy("page_key").agg(F.count("*").alias("missing_shingle_count"))
-    samples = quotes(runs, t, cfg).groupBy("page_key").agg(F.array_sort(F.collect_list(F.struct("start", "quote"))).alias("q"))
+    samples = quotes(runs, tokens, cfg).groupBy("page_key").agg(F.array_sort(F.collect_list(F.struct("start", "quote"))).alias("q"))
     lost = spans.join(total, "page_key").join(samples, "page_key", "left").select("page_key", "missing_span_count", "missing_shingle_count", F.col("q.quote").alias("missing_text_samples"))
     one = F.lit(1).cast("bigint")
-    brief = short_pages(t, cfg).select("page_key", one.alias("missing_span_count"), one.alias("missing_shingle_count"), F.array("quote").alias("missing_text_samples"))
-    ratio = ratio_outliers(t, cfg).select("page_key", "ratio_outlier", "ratio_gated")
-    facts = t.select("page_key", "section", "source_rel", F.size("ref_tokens").cast("bigint").alias("ref_tokens"), F.size("md_tokens").cast("bigint").alias("md_tokens"))
+    brief = short_pages(tokens, df, cfg).select("page_key", one.alias("missing_span_count"), one.alias("missing_shingle_count"), F.array("quote").alias("missing_text_samples"))
+    size = sizes(tokens)
+    ratio = ratio_outliers(size, cfg).select("page_key", "ratio_outlier", "ratio_gated")
     hit = lost.unionByName(brief).join(ratio, "page_key", "full_outer")
     zero = F.lit(0).cast("bigint")
-    return hit.join(facts, "page_key").select(
+    return hit.join(size, "page_key").select(
         "page_key", "section", "source_rel", "ref_tokens", "md_tokens", F.try_divide("md_tokens", "ref_tokens").alias("derived_to_ref_token_ratio"),
         F.coalesce("missing_shingle_count", zero).alias("missing_shingle_count"), F.coalesce("missing_span_count", zero).alias("missing_span_count"),
         F.coalesce("missing_text_samples", F.array().cast("array<string>")).alias("missing_text_samples"),
@@ -164,22 +178,33 @@ class Baseline:
 
 @dataclass(frozen=True)
 class Audit:
+    """``quotes`` has a source text of each collapsed shingle; ``page_count`` and ``shrunk`` are numbers of pages."""
+
+    tokens: DataFrame
     flags: DataFrame
     stale: DataFrame
     frequencies: DataFrame
     collapsed: DataFrame
+    quotes: DataFrame
     verdict: DataFrame
+    page_count: int
+    shrunk: int
 
 
 def run(pages: DataFrame, cfg: AuditConfig = AUDIT, baseline: Baseline | None = None, pinned: DataFrame | None = None) -> Audit:
-    """The whole audit of ``pages(page_key, section, source_rel, ref, md)``."""
+    """The whole audit of ``pages(page_key, section, source_rel, ref, md)``. ``pinned(fingerprint)`` are ``codec.fingerprint`` numbers of shared shingles."""
     spark = pages.sparkSession
     if baseline is not None and (why := baseline.mismatch(cfg)):
         raise ValueError(f"baseline was made with other thresholds: {why}")
     base = baseline.pages if baseline is not None else spark.createDataFrame([], "page_key string, missing_spans bigint, missing_shingles bigint, md_tokens bigint")
-    found = apply_baseline(flags(pages, cfg), base)
-    df = S.both_frequencies(tokenized(pages), cfg.n)
-    lost = S.collapsed(pinned, df, cfg) if pinned is not None else None
-    shrunk = page_shrink(baseline.page_count, pages.count()) if baseline is not None else 0
-    gone = lost if lost is not None else df.limit(0)
-    return Audit(found, stale(found, base), df, gone, verdict(found, shrunk, lost))
+    tokens = tokenized(pages, cfg)
+    df = counted(tokens)
+    found = keep(apply_baseline(flags(tokens, df, cfg), base), "flags")
+    count = tokens.count()
+    shrunk = page_shrink(baseline.page_count, count) if baseline is not None else 0
+    gone = df.limit(0)
+    if pinned is not None:
+        # only shared shingles can collapse: theirs are the texts that are put together and fingerprinted
+        shared = S.texts(tokens, df.where((F.col("ref_df") > cfg.max_df) & (F.col("md_df") <= cfg.max_df)).withColumn("k", F.col("h")), cfg.n).withColumnRenamed("k", "h")
+        gone = keep(shared.withColumn("fingerprint", fingerprint(F.col("shingle"))).join(pinned.select("fingerprint").distinct(), "fingerprint", "left_semi"), "collapsed")
+    return Audit(tokens, found, stale(found, base), df, gone, S.first_quotes(tokens, gone, cfg.n), verdict(found, shrunk, gone), count, shrunk)

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import RANKING, Ranking
 from tessera.functions import text as X
+from tessera.functions.htmlpage import unescape
 from tessera.operators import retrieval as R
 from tessera.operators.index import Index
+from tessera.tables import keep
 
 
 def ordered(pages: DataFrame, *keys: str) -> DataFrame:
     """``pages`` with ``rn`` from 0 in the order of ``keys``. Ranks come from range partitions and their counts, so no task sees all rows."""
-    parts = pages.repartitionByRange(*[F.col(k) for k in keys]).withColumn("_p", F.spark_partition_id())
+    # written once: the ranges would not be the same in two runs
+    parts = keep(pages.repartitionByRange(*[F.col(k) for k in keys]).withColumn("_p", F.spark_partition_id()), "ranges")
     w = Window.partitionBy("_p").orderBy(*keys)
     ranked = parts.withColumn("_r", F.row_number().over(w).cast("bigint") - 1)
     sizes = ranked.groupBy("_p").agg(F.count("*").alias("_n"))
@@ -47,10 +50,11 @@ def term_frequency(terms: DataFrame) -> DataFrame:
 
 def body_queries(pages: DataFrame, size: int = 4) -> DataFrame:
     """``(section, source_rel, query)``: each page's window of ``size`` body terms, none of them in its title or id, with the largest sum of floor(10^6 / df); the first on a tie."""
-    t = body_terms(pages)
+    t = keep(body_terms(pages), "terms")  # each body is split once
     banned = F.array_union(X.terms(F.col("title")), X.terms(F.col("page_id")))
-    each = t.withColumn("banned", banned).select("source_rel", "section", "banned", F.posexplode("t").alias("pos", "term"))
-    scored = each.join(term_frequency(t), "term").withColumn("s", F.expr("1000000 div df")).withColumn("bad", F.array_contains("banned", F.col("term")).cast("int"))
+    marked = X.let(banned, lambda b: F.transform("t", lambda x: F.struct(x.alias("term"), F.array_contains(b, x).cast("int").alias("bad"))))
+    each = t.select("source_rel", "section", F.posexplode(marked).alias("pos", "x")).select("source_rel", "section", "pos", "x.term", "x.bad")
+    scored = each.join(term_frequency(t), "term").withColumn("s", F.expr("1000000 div df"))
     w = Window.partitionBy("source_rel").orderBy("pos").rowsBetween(Window.currentRow, size - 1)
     win = scored.select("section", "source_rel", "pos", F.sum("s").over(w).alias("score"), F.sum("bad").over(w).alias("bad"), F.collect_list("term").over(w).alias("words"))
     win = win.where((F.size("words") == size) & (F.col("bad") == 0))
@@ -123,5 +127,18 @@ def nearest_rank(values: DataFrame, value: str, by: list[str], p: float) -> Data
     return values.select(*by, value, n.alias("count"), (r == want).alias("_at")).where("_at").select(*by, "count", F.col(value).alias("value_p"))
 
 
+def raw_title(html: Column) -> Column:
+    """Title of a raw page, its white space put together."""
+    raw = F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1)
+    return F.trim(F.regexp_replace(unescape(raw), r"\s+", " "))
+
+
+def all_true(names: list[str]) -> Column:
+    out = F.lit(True)
+    for n in names:
+        out = out & F.col(f"`{n}`")
+    return out
+
+
 def first_misses(results: DataFrame, size: int = 20) -> DataFrame:
     return results.where(~F.col("passed")).orderBy("query_id").limit(size)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.files import is_folder
 from tessera.functions import text as X
 from tessera.tables import keep
 
@@ -27,22 +28,26 @@ class Index:
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "vocab", "stats")))
+        """An index without a vocabulary table, as an older one may be, counts its postings instead."""
+        post, stats = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "stats"))
+        return Index(post, spark.read.parquet(f"{path}/vocab") if is_folder(spark, f"{path}/vocab") else vocabulary(post), stats)
 
 
 def token_rows(pages: DataFrame) -> DataFrame:
     """``(source_rel, dl, in_title, term)``, a row for each token of title and body; dl is the page's token count."""
-    t = pages.select("source_rel", X.index_tokens(F.col("title")).alias("a"), X.index_tokens(F.col("body")).alias("b"))
-    both = F.concat(
-        F.transform("a", lambda x: F.struct(F.lit(1).alias("in_title"), x.alias("term"))),
-        F.transform("b", lambda x: F.struct(F.lit(0).alias("in_title"), x.alias("term"))),
-    )
-    return t.select("source_rel", (F.size("a") + F.size("b")).cast("bigint").alias("dl"), F.inline(both))
+    row = lambda in_title, dl: lambda x: F.struct(dl.alias("dl"), F.lit(in_title).alias("in_title"), X.fold(x).alias("term"))
+
+    def rows(ab):
+        dl = (F.size(ab["a"]) + F.size(ab["b"])).cast("bigint")
+        return X.let(dl, lambda n: F.concat(F.transform(ab["a"], row(1, n)), F.transform(ab["b"], row(0, n))))
+
+    split = F.struct(X.raw_tokens(F.col("title")).alias("a"), X.raw_tokens(F.col("body")).alias("b"))
+    return pages.select("source_rel", F.inline(X.let(split, rows)))
 
 
 def doc_lengths(pages: DataFrame) -> DataFrame:
     """``(source_rel, dl)``."""
-    n = F.size(X.index_tokens(F.col("title"))) + F.size(X.index_tokens(F.col("body")))
+    n = F.size(X.raw_tokens(F.col("title"))) + F.size(X.raw_tokens(F.col("body")))
     return pages.select("source_rel", n.cast("bigint").alias("dl"))
 
 
@@ -64,7 +69,15 @@ def statistics(pages: DataFrame) -> DataFrame:
     return doc_lengths(pages).agg(F.count("*").alias("n"), F.try_divide(F.sum("dl").cast("double"), F.count("*")).alias("avgdl"))
 
 
+def indexed_pages(index: Index) -> int:
+    """Pages that the index counts."""
+    return index.stats.first()["n"]
+
+
 def build(pages: DataFrame) -> Index:
-    """The index of ``pages``, tokenized once: the postings are a table in the shared folder, sorted by term so that a term filter skips row groups."""
-    post = keep(postings(pages).sortWithinPartitions("term"), "postings")
-    return Index(post, keep(vocabulary(post), "vocab"), keep(statistics(pages), "stats"))
+    """The index of ``pages``, tokenized once: the postings are a table in the shared folder, in ranges of terms and sorted, so that a term filter skips files and row groups.
+    Their frequencies add up to the lengths, so the statistics need no second look at the texts."""
+    post = keep(postings(pages).repartitionByRange("term").sortWithinPartitions("term"), "postings")
+    total = post.agg(F.coalesce(F.sum(F.col("tf_title") + F.col("tf_body")), F.lit(0)).cast("double").alias("t"))
+    stats = pages.agg(F.count("*").alias("n")).crossJoin(total).select("n", F.try_divide("t", "n").alias("avgdl"))
+    return Index(post, keep(vocabulary(post), "vocab"), keep(stats, "stats"))

@@ -1,4 +1,8 @@
-"""Shingle document frequencies and the classes that follow from them."""
+"""Shingle document frequencies and the classes that follow from them.
+
+Frequencies are counted by a 64-bit number of each shingle. Texts are put together only for the shingles that a result shows.
+``tokens`` is what ``audit.tokenized`` gives: ``ref`` and ``md`` structs of a page's tokens and shingle numbers ``h``.
+"""
 
 from __future__ import annotations
 
@@ -9,23 +13,19 @@ from tessera.config import AUDIT, AuditConfig
 from tessera.functions import text as X
 
 
-def windows(pages: DataFrame, tokens: str, n: int) -> DataFrame:
-    """``(page_key, pos, shingle)``, positions from 0."""
-    return pages.select("page_key", F.posexplode(X.shingles(F.col(tokens), n)).alias("p", "shingle")).select("page_key", F.col("p").cast("bigint").alias("pos"), "shingle")
-
-
-def frequencies(pages: DataFrame, tokens: str, n: int, name: str) -> DataFrame:
-    """``(shingle, name)``: in how many pages a shingle stands. Repeats inside a page go before the shuffle."""
-    one = pages.select(F.explode(F.array_distinct(X.shingles(F.col(tokens), n))).alias("shingle"))
-    return one.groupBy("shingle").agg(F.count("*").alias(name))
+def frequencies(tokens: DataFrame) -> DataFrame:
+    """``(h, ref_df, md_df)``: in how many pages' sources and copies a shingle stands, in one shuffle. Repeats inside a page go before it."""
+    one = lambda side, r: F.transform(F.array_distinct(f"{side}.h"), lambda h: F.struct(h.alias("h"), F.lit(r).alias("r"), F.lit(1 - r).alias("m")))
+    rows = tokens.select(F.inline(F.concat(one("ref", 1), one("md", 0))))
+    return rows.groupBy("h").agg(F.sum("r").alias("ref_df"), F.sum("m").alias("md_df"))
 
 
-def both_frequencies(pages: DataFrame, n: int) -> DataFrame:
-    """``(shingle, ref_df, md_df)`` for every shingle of ``ref_tokens`` or ``md_tokens``, in one shuffle."""
-    ref = F.transform(F.array_distinct(X.shingles(F.col("ref_tokens"), n)), lambda s: F.struct(s.alias("shingle"), F.lit(1).alias("r"), F.lit(0).alias("m")))
-    md = F.transform(F.array_distinct(X.shingles(F.col("md_tokens"), n)), lambda s: F.struct(s.alias("shingle"), F.lit(0).alias("r"), F.lit(1).alias("m")))
-    rows = pages.select(F.inline(F.concat(ref, md)))
-    return rows.groupBy("shingle").agg(F.sum("r").alias("ref_df"), F.sum("m").alias("md_df"))
+def texts(tokens: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    """``found`` with the ``shingle`` of each ``h``."""
+    pair = lambda side: F.arrays_zip(F.col(f"{side}.h").alias("h"), X.shingles(F.col(f"{side}.tokens"), n).alias("shingle"))
+    each = tokens.select(F.inline(F.array_distinct(F.concat(pair("ref"), pair("md")))).alias("h", "shingle"))
+    wanted = each.join(found.select("h"), "h", "left_semi").distinct()
+    return found.join(wanted, "h").drop("h")
 
 
 def page_unique(df: DataFrame, cfg: AuditConfig = AUDIT) -> DataFrame:
@@ -42,6 +42,14 @@ def chrome(df: DataFrame, cfg: AuditConfig = AUDIT) -> DataFrame:
     return df.where((F.col("ref_df") > cfg.max_df) & (F.col("md_df") < cfg.content_min_df))
 
 
-def collapsed(pinned: DataFrame, df: DataFrame, cfg: AuditConfig = AUDIT) -> DataFrame:
+def collapsed(pinned: DataFrame, df: DataFrame, cfg: AuditConfig = AUDIT, key: str = "h") -> DataFrame:
     """Pinned shingles that many sources still have and that the derived pages lost."""
-    return df.join(pinned.select("shingle").distinct(), "shingle", "left_semi").where((F.col("ref_df") > cfg.max_df) & (F.col("md_df") <= cfg.max_df))
+    return df.join(pinned.select(key).distinct(), key, "left_semi").where((F.col("ref_df") > cfg.max_df) & (F.col("md_df") <= cfg.max_df))
+
+
+def first_quotes(tokens: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    """``(h, quote)``: of each ``h`` of ``found`` the source tokens of its first place, by page and position."""
+    each = tokens.select("page_key", "ref.tokens", F.posexplode("ref.h").alias("pos", "h")).join(found.select("h"), "h", "left_semi")
+    first = each.groupBy("h").agg(F.min(F.struct("page_key", "pos")).alias("at")).select("h", "at.page_key", "at.pos")
+    j = first.join(tokens.select("page_key", "ref.tokens"), "page_key")
+    return j.select("h", F.array_join(F.slice("tokens", F.col("pos") + 1, n), " ").alias("quote"))

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from tessera.functions.text import FOLD_FROM, FOLD_TO
+import unicodedata
+
 
 _W = r"'[\p{L}\p{Nd}]+'"
 _N = r"'[\p{L}\p{N}]+'"
 
 
+#: Latin letters that decompose into a base letter and marks, from the character database and not from the engine.
+_LATIN = [c for c in map(chr, range(0xC0, 0x180)) if c.islower() and len(unicodedata.normalize("NFD", c)) > 1]
+FOLD_FROM = "".join(_LATIN)
+FOLD_TO = "".join(unicodedata.normalize("NFD", c)[0] for c in _LATIN)
+
+
 def _fold(x: str) -> str:
     return f"translate(lower({x}), '{FOLD_FROM}', '{FOLD_TO}')"
 
@@ -18,13 +25,13 @@ def _terms(x: str) -> str:
 
 PG = "pg AS (SELECT lang AS section, doc_id, doc_id::VARCHAR AS page_id, lang || '/' || doc_id AS page_key, lang || '/' || doc_id || '.html' AS source_rel, split_part(text, chr(10), 1) AS title, text AS body FROM documents)"
 
-INDEX = f"""{PG},
-tk AS (SELECT source_rel, 1 AS t, {_fold('w')} AS term FROM (SELECT source_rel, unnest(regexp_extract_all(title, {_N})) AS w FROM pg)
+_INDEX = f"""tk AS (SELECT source_rel, 1 AS t, {_fold('w')} AS term FROM (SELECT source_rel, unnest(regexp_extract_all(title, {_N})) AS w FROM pg)
        UNION ALL SELECT source_rel, 0, {_fold('w')} FROM (SELECT source_rel, unnest(regexp_extract_all(body, {_N})) AS w FROM pg)),
 dl AS (SELECT pg.source_rel, coalesce(n, 0)::BIGINT AS dl FROM pg LEFT JOIN (SELECT source_rel, count(*) AS n FROM tk GROUP BY 1) USING (source_rel)),
 post AS (SELECT term, source_rel, sum(t)::BIGINT AS tf_title, sum(1 - t)::BIGINT AS tf_body FROM tk GROUP BY term, source_rel),
 vocab AS (SELECT term, count(*) AS doc, sum(tf_title + tf_body)::BIGINT AS cnt FROM post GROUP BY term),
 st AS (SELECT count(*) AS n, sum(dl)::DOUBLE / count(*) AS avgdl FROM dl)"""
+INDEX = f"{PG}, {_INDEX}"
 
 ASKED = f"""q AS (SELECT * FROM (
   SELECT item_id AS query_id, array_to_string(({_terms('text')})[1:4], ' ') AS query FROM benchmark
@@ -197,18 +204,26 @@ SELECT lane, section, count(*) AS cases, sum(hit)::BIGINT AS found FROM l GROUP
     "shared_content_shingles": f"WITH {DAMAGED}, {_frequencies()} SELECT * FROM df WHERE ref_df > 4 AND md_df >= 5",
     "chrome_shingles": f"WITH {DAMAGED}, d2 AS (SELECT page_key, section, source_rel, ref, {_first_line_lost('md')} AS md FROM dm), {_frequencies('d2')} SELECT * FROM df WHERE ref_df > 4 AND md_df < 5",
     "shared_collapsed": f"WITH {DAMAGED}, {_frequencies('dm', 'a_')}, d2 AS (SELECT page_key, section, source_rel, ref, {_first_line_lost('md')} AS md FROM dm), {_frequencies('d2')} SELECT df.* FROM df JOIN a_df ON a_df.shingle = df.shingle WHERE a_df.ref_df > 4 AND a_df.md_df >= 5 AND df.ref_df > 4 AND df.md_df <= 4",
+    "collapsed_quotes": f"""WITH {DAMAGED}, {_frequencies('dm', 'a_')}, d2 AS (SELECT page_key, section, source_rel, ref, {_first_line_lost('md')} AS md FROM dm), {_frequencies('d2')},
+co AS (SELECT df.shingle FROM df JOIN a_df ON a_df.shingle = df.shingle WHERE a_df.ref_df > 4 AND a_df.md_df >= 5 AND df.ref_df > 4 AND df.md_df <= 4),
+fi AS (SELECT rs.shingle, page_key, pos FROM rs JOIN co USING (shingle) QUALIFY row_number() OVER (PARTITION BY rs.shingle ORDER BY page_key, pos) = 1)
+SELECT array_to_string(t.rt[fi.pos + 1:fi.pos + 5], ' ') AS quote FROM fi JOIN t USING (page_key)""",
     "missing_windows": f"WITH {MISSING} SELECT page_key, pos, shingle FROM mw",
     "missing_runs": f"WITH {MISSING} SELECT page_key, start, windows FROM mr",
     "missing_quotes": f"WITH {MISSING} SELECT page_key, start, quote FROM mq",
-    "short_page_check": f"""WITH {PG}, dm AS (SELECT page_key, section, source_rel, ref, CASE WHEN doc_id % 3 = 0 THEN '' ELSE ref END AS md FROM (SELECT *, array_to_string(regexp_extract_all(body, {_W})[1:4], ' ') AS ref FROM pg)),
+    "short_page_check": f"""WITH {PG}, dm AS (SELECT page_key, section, source_rel, body AS ref, CASE WHEN doc_id % 3 = 0 THEN '' ELSE body END AS md FROM pg),
 {_frequencies()}, {_short()} SELECT page_key, quote FROM sh""",
     "ratio_median": f"WITH {DAMAGED}, {_frequencies()}, {_RATIO} SELECT section, round(median_ratio, 9) AS median_ratio FROM md0",
     "ratio_outliers": f"WITH {DAMAGED}, {_frequencies()}, {_RATIO} SELECT page_key, section, ref_tokens, md_tokens, round(ratio, 9) AS ratio, ratio_outlier, ratio_gated FROM ro WHERE ratio_outlier",
     "audit_flags": f"WITH {FLAGS} SELECT * FROM fl",
     "audit_baseline_apply": f"WITH {BASELINE} SELECT page_key, gates, baselined FROM ap",
     "audit_baseline_stale": f"WITH {BASELINE} SELECT page_key FROM base WHERE page_key NOT IN (SELECT page_key FROM ap WHERE gates)",
-    "audit_verdict": f"""WITH {BASELINE} SELECT count_if(gates AND NOT baselined)::BIGINT AS new_flags, count_if(baselined)::BIGINT AS baselined, count_if(missing_span_count > 0)::BIGINT AS content_loss,
-count_if(missing_span_count = 0 AND ratio_outlier)::BIGINT AS ratio_only, 0::BIGINT AS shared_loss, 3::BIGINT AS page_shrink, true AS failed FROM ap""",
+    "audit_verdict": f"""WITH {BASELINE}, d2 AS (SELECT page_key, section, source_rel, ref, {_first_line_lost('md')} AS md FROM dm), {_frequencies('d2', 'b_')},
+sl AS (SELECT count(*)::BIGINT AS shared_loss FROM b_df JOIN df USING (shingle) WHERE df.ref_df > 4 AND df.md_df >= 5 AND b_df.ref_df > 4 AND b_df.md_df <= 4),
+ps AS (SELECT (count(*) - count_if(doc_id % 50 <> 0))::BIGINT AS page_shrink FROM documents),
+su AS (SELECT count_if(gates AND NOT baselined)::BIGINT AS new_flags, count_if(baselined)::BIGINT AS baselined, count_if(missing_span_count > 0)::BIGINT AS content_loss,
+count_if(missing_span_count = 0 AND ratio_outlier)::BIGINT AS ratio_only FROM ap)
+SELECT *, new_flags > 0 OR page_shrink > 0 OR shared_loss > 0 AS failed FROM su CROSS JOIN sl CROSS JOIN ps""",
     "page_shrink": "SELECT count(*) AS recorded, count_if(doc_id % 50 <> 0)::BIGINT AS now, (count(*) - count_if(doc_id % 50 <> 0))::BIGINT AS page_shrink FROM documents",
     "title_cases_stride": f"WITH {PG}, {_cases(100)} SELECT name, query, expected FROM tc",
     "body_query": f"WITH {BODY} SELECT section, source_rel, query FROM bq",
@@ -224,7 +239,9 @@ i AS (SELECT unnest(range(60)) AS i) SELECT 'generated-body:' || source_rel AS n
 (SELECT count(*) FROM pg WHERE page_key NOT IN (SELECT page_key FROM ca)) AS missing_pages, (SELECT count(*) FROM ca WHERE page_key NOT IN (SELECT page_key FROM pg)) AS unexpected_pages,
 (SELECT count(*) FROM fm) AS field_mismatches, 0::BIGINT AS missing_page_text, false AS passed""",
     "source_bijection": f"WITH {CANDIDATE} SELECT source_rel AS row_key, 'no source' AS rule FROM ca WHERE source_rel NOT IN (SELECT source_rel FROM pg) UNION ALL SELECT source_rel, 'no page' FROM pg WHERE source_rel NOT IN (SELECT source_rel FROM ca)",
-    "duplicate_keys": "SELECT sha256(text) AS row_key, 'duplicate text_sha256' AS rule FROM documents GROUP BY text HAVING count(*) > 1",
+    "duplicate_keys": f"""WITH {PG}, al AS (SELECT page_key, source_rel FROM pg UNION ALL SELECT page_key, source_rel FROM pg WHERE doc_id % 90 = 0
+UNION ALL SELECT section || '/' || (doc_id - 1), source_rel FROM pg WHERE doc_id % 70 = 1)
+SELECT page_key AS row_key, 'duplicate page_key' AS rule FROM al GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT source_rel, 'duplicate source_rel' FROM al GROUP BY 1 HAVING count(*) > 1""",
     "invalid_paths": rf"""WITH {PG}, v AS (SELECT page_key, section, page_id, CASE doc_id % 8 WHEN 1 THEN section || '/../x.html' WHEN 2 THEN '/' || source_rel WHEN 3 THEN section || '/a\b.html' WHEN 4 THEN section || '/x.txt' WHEN 5 THEN '' WHEN 6 THEN section || '/other.html' ELSE source_rel END AS s FROM pg)
 SELECT row_key, rule FROM (SELECT page_key AS row_key, CASE WHEN s = '' THEN 'empty field' WHEN section NOT IN ('en', 'fr', 'de') THEN 'unknown section' WHEN contains(s, '\') OR starts_with(s, '/') OR contains(s, '/../') THEN 'unsafe path'
 WHEN NOT starts_with(s, section || '/') OR NOT ends_with(lower(s), '.html') THEN 'outside section' WHEN page_key <> section || '/' || regexp_replace(substr(s, length(section) + 2), '\.html$', '') THEN 'key not from path' END AS rule FROM v) WHERE rule IS NOT NULL""",
@@ -232,4 +249,21 @@ WHEN NOT starts_with(s, section || '/') OR NOT ends_with(lower(s), '.html') THEN
     "source_sha256": f"WITH {_HTML} SELECT source_rel, sha256(html) AS sha256, strlen(html)::BIGINT AS source_bytes FROM hs",
     "html_title": f"WITH {_HTML} SELECT source_rel, {_TITLE} AS title FROM hs",
     "search_index": f"WITH {PG} SELECT page_key, section, page_id, replace(title, chr(9), ' ') AS title, source_rel, '' AS canonical_url FROM pg",
+    "content_links": rf"""WITH {_HTML}, l AS (SELECT source_rel, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS text,
+  unnest(range(len(regexp_extract_all(html, '<a href="[^"]*">')))) AS i FROM hs),
+f AS (SELECT source_rel, href, min(i) AS i, arg_min(text, i) AS text FROM l WHERE split_part(href, '#', 1) <> '' AND split_part(href, '#', 1) <> split_part(source_rel, '/', 2) GROUP BY 1, 2)
+SELECT regexp_replace(source_rel, '\.html$', '') AS page_key, row_number() OVER (PARTITION BY source_rel ORDER BY i) - 1 AS pos, text, href FROM f""",
+    "raw_html_lane": f"""WITH {_HTML}, pg AS (SELECT section, source_rel, {_TITLE} AS title, html AS body FROM hs), {_INDEX},
+q AS (SELECT source_rel AS query_id, title AS query, section, source_rel AS expected FROM pg WHERE len({_terms('title')}) > 0), {_qt()}, {_match('m', 'qt')}, {_top('ex', 'm', True)},
+l AS (SELECT section, EXISTS (SELECT 1 FROM ex WHERE ex.query_id = q.query_id AND ex.source_rel = q.expected)::BIGINT AS hit FROM q)
+SELECT 'raw-bm25' AS lane, section, count(*) AS cases, sum(hit)::BIGINT AS found FROM l GROUP BY 2 UNION ALL SELECT 'raw-bm25', 'all', count(*), sum(hit)::BIGINT FROM l""",
+    "raw_scan_lane": f"WITH {_HTML} SELECT source_rel, sha256(lower(html)) AS text_sha256, strlen(html)::BIGINT AS bytes FROM hs",
+    "policy_totals": f"""WITH {POLICY} SELECT count(*) AS cases, sum(1 + relaxed::INT + used_or::INT)::BIGINT AS queries, sum(CASE WHEN relaxed THEN n_terms ELSE 0 END)::BIGINT AS lookups,
+round(sum(1 + relaxed::INT + used_or::INT)::DOUBLE / count(*), 9) AS queries_per_case, round(sum(CASE WHEN relaxed THEN n_terms ELSE 0 END)::DOUBLE / count(*), 9) AS lookups_per_case FROM per""",
+    "suite_leaks": f"""WITH {PG}, {_cases(100)}, c AS (SELECT name AS query_id, query, expected FROM tc WHERE len({_terms('query')}) > 0 UNION ALL SELECT 'path ' || name, replace(replace(expected, '/', ' '), '.', ' '), expected FROM tc WHERE len({_terms('query')}) > 0),
+t AS (SELECT query_id, {_terms('query')} AS a, {_terms('expected')} AS b FROM c),
+x AS (SELECT query_id, unnest([a[i] || ' ' || a[i + 1] for i in range(1, len(a))]) AS bigram, [b[i] || ' ' || b[i + 1] for i in range(1, len(b))] AS path FROM t)
+SELECT DISTINCT query_id, bigram FROM x WHERE list_contains(path, bigram)""",
+    "first_misses": f"""WITH {CONCEPT}, g AS (SELECT q.query_id, split_part(q.expected, '/', 1) AS section, split_part(q.expected, '/', 1) || '/1.html' AS gold FROM q)
+SELECT g.query_id, g.section FROM g JOIN pg ON pg.source_rel = g.gold LEFT JOIN hs USING (query_id) WHERE NOT coalesce(list_contains(hs.hits, g.gold), false) ORDER BY g.query_id LIMIT 20""",
 }

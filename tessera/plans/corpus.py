@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import files
+from tessera.config import BROADCAST_ROWS
 from tessera.functions import text as X
 from tessera.functions.htmlpage import ARTICLE, Profile, parse_udf
+from tessera.functions.visible import extract_udf
 from tessera.operators import index as I
 from tessera.operators import retrieval as R
 from tessera.operators import validate as V
@@ -57,7 +58,7 @@ def derive(source: DataFrame, titles: DataFrame | None = None, profile: Profile
     d = parsed.withColumn("page_id", page_id)
     if titles is not None:
         t = titles.select("section", "page_id", F.col("title").alias("listed"))
-        d = d.join(F.broadcast(t) if titles.count() <= 1_000_000 else t, ["section", "page_id"], "left")
+        d = d.join(F.broadcast(t) if titles.count() <= BROADCAST_ROWS else t, ["section", "page_id"], "left")
     else:
         d = d.withColumn("listed", F.lit(None).cast("string"))
     title = X.page_title(F.col("listed"), F.col("p.title"), F.col("page_id"))
@@ -81,21 +82,21 @@ def search_index(pages: DataFrame) -> DataFrame:
     return pages.select("page_key", "section", "page_id", F.translate("title", "\t", " ").alias("title"), "source_rel", "canonical_url")
 
 
-def prepare_output(path: str) -> None:
+def prepare_output(spark: SparkSession, path: str) -> None:
     """Refuses a folder that holds something other than a corpus."""
-    if os.path.isdir(path) and os.listdir(path) and not os.path.isfile(os.path.join(path, MARKER)):
+    if files.names(spark, path) and not files.is_file(spark, f"{path}/{MARKER}"):
         raise ValueError(f"{path} is not empty and has no {MARKER}")
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """A built corpus in a folder."""
+    """A built corpus in a folder of any file system that Spark reaches."""
 
     spark: SparkSession
     path: str
 
     def __post_init__(self) -> None:
-        if not os.path.isfile(os.path.join(self.path, MARKER)):
+        if not files.is_file(self.spark, f"{self.path}/{MARKER}"):
             raise FileNotFoundError(f"{self.path} holds no corpus; is it built?")
 
     @property
@@ -106,14 +107,24 @@ class Corpus:
     def page_text(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/page_text")
 
+    @property
+    def whole_pages(self) -> DataFrame:
+        """Pages with ``md``, null where a page has no text."""
+        return self.pages.join(self.page_text, "page_key", "left")
+
     @property
     def index(self) -> I.Index:
+        if not self.info.get("full_text"):
+            raise ValueError(f"{self.path} was built without an index and can't be searched")
         return I.Index.read(self.spark, f"{self.path}/index")
 
     @property
     def info(self) -> dict:
-        with open(os.path.join(self.path, MARKER)) as f:
-            return json.load(f)
+        return json.loads(files.read(self.spark, f"{self.path}/{MARKER}"))
+
+    def require_valid(self, sections: tuple[str, ...], source: DataFrame | None = None) -> None:
+        """Raises where a page row breaks a rule, a page has no text, or pages and ``source(source_rel)`` are not one to one."""
+        V.require(V.violations(self.pages, sections, source, self.page_text))
 
     def page(self, page_key: str) -> str:
         """Markdown of one page; files are sorted by key, so the filter reads few row groups."""
@@ -127,16 +138,17 @@ class Corpus:
         q = self.spark.createDataFrame([(0, query)], "query_id bigint, query string")
         return R.search(self.index, q, limit, policy).hits.join(self.pages, "source_rel").select("rank", "section", "title", "page_key", "source_rel").orderBy("rank")
 
-    def audit_pages(self, source_tokens: DataFrame) -> DataFrame:
-        """``(page_key, section, source_rel, ref_tokens, md_tokens)`` from independently extracted ``source_tokens(source_rel, ref_tokens)``."""
-        md = self.page_text.select("page_key", X.words(F.col("md")).alias("md_tokens"))
-        return self.pages.select("page_key", "section", "source_rel").join(source_tokens, "source_rel").join(md, "page_key")
+    def audit_pages(self, source: DataFrame, anchor: str = "", anchor_tag: str = "article") -> DataFrame:
+        """``(page_key, section, source_rel, ref, md)``: each page's own text against the words of ``source(source_rel, html)``, which are extracted apart from the derivation."""
+        ref = source.select("source_rel", F.array_join(extract_udf(anchor, anchor_tag)(F.col("html")).getField("tokens"), " ").alias("ref"))
+        return self.pages.select("page_key", "section", "source_rel").join(ref, "source_rel").join(self.page_text, "page_key").select("page_key", "section", "source_rel", "ref", "md")
 
 
-def build(source: DataFrame, output: str, titles: DataFrame | None = None, profile: Profile = ARTICLE) -> Corpus:
-    """Derives ``source`` into ``output`` by way of a staging folder, which takes the place of an older corpus only when all of it is written."""
+def build(source: DataFrame, output: str, titles: DataFrame | None = None, profile: Profile = ARTICLE, full_text: bool = True) -> Corpus:
+    """Derives ``source`` into ``output`` by way of a staging folder, which takes the place of an older corpus only when all of it is written. Without
+    ``full_text`` no index is built, and the manifest says so."""
     spark = source.sparkSession
-    prepare_output(output)
+    prepare_output(spark, output)
     stage = f"{output.rstrip('/')}.{uuid.uuid4().hex}"
     try:
         derive(source, titles, profile).write.parquet(f"{stage}/derived")  # each page is parsed once
@@ -144,21 +156,15 @@ def build(source: DataFrame, output: str, titles: DataFrame | None = None, profi
         V.require(V.duplicates(d, "page_key").unionByName(V.duplicates(d, "source_rel")))
         d.select(*PAGE_COLUMNS).repartitionByRange("page_key").sortWithinPartitions("page_key").write.parquet(f"{stage}/pages")
         d.select("page_key", "md").repartitionByRange("page_key").sortWithinPartitions("page_key").write.parquet(f"{stage}/page_text")
-        post = I.postings(d.select("source_rel", "title", "body"))
-        post.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{stage}/index/postings")
-        post = spark.read.parquet(f"{stage}/index/postings")
-        I.vocabulary(post).sortWithinPartitions("term").write.parquet(f"{stage}/index/vocab")
-        I.statistics(d).coalesce(1).write.parquet(f"{stage}/index/stats")
+        if full_text:
+            I.build(d.select("source_rel", "title", "body")).write(f"{stage}/index")
         search_index(d).orderBy("section", "source_rel").write.csv(f"{stage}/search_index", sep="\t", header=True, quote="", escape="")
-        info = manifest(d).first().asDict() | {"full_text": True}
-        with open(os.path.join(stage, "index.md"), "w") as f:
-            f.write(f"# Corpus\n\n{info['page_count']} pages, {info['source_bytes']} source bytes, {info['text_bytes']} text bytes.\n\nTables: pages, page_text, index, search_index.\n")
-        shutil.rmtree(os.path.join(stage, "derived"))
-        with open(os.path.join(stage, MARKER), "w") as f:
-            json.dump(info, f, indent=1)
-        if os.path.isdir(output):
-            shutil.rmtree(output)
-        os.rename(stage, output)
+        info = manifest(d).first().asDict() | {"full_text": full_text}
+        files.write(spark, f"{stage}/index.md", f"# Corpus\n\n{info['page_count']} pages, {info['source_bytes']} source bytes, {info['text_bytes']} text bytes.\n\nTables: pages, page_text, index, search_index.\n")
+        files.delete(spark, f"{stage}/derived")
+        files.write(spark, f"{stage}/{MARKER}", json.dumps(info, indent=1) + "\n")
+        files.delete(spark, output)
+        files.rename(spark, stage, output)
     finally:
-        shutil.rmtree(stage, ignore_errors=True)
+        files.delete(spark, stage)
     return Corpus(spark, output)

@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores: a small file is one split, which one core would work through. A large table stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def document_pages(docs: DataFrame) -> DataFrame:
     """``(section, page_id, page_key, source_rel, title, body)``; a section for each language, the first line as the title."""
     key = F.concat_ws("/", "lang", F.col("doc_id").cast("string"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import AUDIT
 from tessera.functions import text as X
-from tessera.functions.htmlpage import unescape
+from tessera.functions.htmlpage import Profile
 from tessera.functions.visible import extract_udf
 from tessera.operators import audit as A
 from tessera.operators import compare as C
@@ -19,7 +19,12 @@ from tessera.operators import retrieval as R
 from tessera.operators import shingles as S
 from tessera.operators import validate as V
 from tessera.plans import corpus as B
+from tessera import reports as P
 from tessera.plans import views as W
+from tessera.tables import keep
+
+#: Takes all of a page as content.
+WHOLE_PAGE = Profile(anchor="", anchor_tag="html", chrome=())
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -29,31 +34,69 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+_ONCE: dict[tuple[str, str, str], object] = {}
+
+
+def once(spark: SparkSession, d: str, name: str, make: Callable[[], object]):
+    """What ``make`` gives, made once for each application and folder: queries share an index or a table as a user's would."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _ONCE:
+        _ONCE[key] = make()
+    return _ONCE[key]
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return W.spread(W.table(spark, d, "documents"))
+
+
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    return W.document_pages(W.table(spark, d, "documents"))
+    return W.document_pages(documents(spark, d))
+
+
+def indexed(spark: SparkSession, d: str) -> I.Index:
+    """The index of all documents, built at its first use."""
+    return once(spark, d, "index", lambda: I.build(pages(spark, d)))
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
     return W.benchmark_queries(W.table(spark, d, "benchmark"))
 
 
+def asked_terms(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    return once(spark, d, "terms", lambda: R.measured(R.query_terms(asked(spark, d))))
+
+
 def searched(spark: SparkSession, d: str, policy: str) -> R.Search:
-    return R.search(I.build(pages(spark, d)), asked(spark, d), 10, policy)
+    return once(spark, d, f"search {policy}", lambda: R.search(indexed(spark, d), asked(spark, d), 10, policy))
 
 
 def damaged(spark: SparkSession, d: str) -> DataFrame:
-    return W.damaged_documents(W.table(spark, d, "documents"))
+    return W.damaged_documents(documents(spark, d))
+
+
+def first_line_lost(spark: SparkSession, d: str) -> DataFrame:
+    return damaged(spark, d).withColumn("md", F.regexp_replace("md", r"^[^\n]*\n?", ""))
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
-    return A.tokenized(damaged(spark, d))
+    """The damaged copies' tokens, split once."""
+    return once(spark, d, "tokens", lambda: A.tokenized(damaged(spark, d)))
 
 
-def html(spark: SparkSession, d: str) -> DataFrame:
-    return W.html_source(W.table(spark, d, "pages"))
+def counted(spark: SparkSession, d: str) -> DataFrame:
+    return once(spark, d, "frequencies", lambda: A.counted(tokens(spark, d)))
+
 
+def missing(spark: SparkSession, d: str) -> DataFrame:
+    return A.missing_windows(tokens(spark, d), counted(spark, d))
 
-ROWS = 100_000
+
+def flagged(spark: SparkSession, d: str) -> DataFrame:
+    return once(spark, d, "flags", lambda: keep(A.flags(tokens(spark, d), counted(spark, d)), "flags"))
+
+
+def html(spark: SparkSession, d: str) -> DataFrame:
+    return W.html_source(W.spread(W.table(spark, d, "pages")))
 
 
 # tokenizers
@@ -66,12 +109,12 @@ def terms_tokenize(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def plain_tokenize(spark: SparkSession, d: str) -> DataFrame:
-    return W.table(spark, d, "documents").select("doc_id", F.array_join(X.plain_terms(F.col("text")), " ").alias("terms"))
+    return documents(spark, d).select("doc_id", F.array_join(X.plain_terms(F.col("text")), " ").alias("terms"))
 
 
 @query
 def word_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return W.table(spark, d, "documents").select("doc_id", F.array_join(X.words(F.col("text")), " ").alias("words"), F.size(X.words(F.col("text"))).cast("bigint").alias("n"))
+    return documents(spark, d).select("doc_id", F.array_join(X.words(F.col("text")), " ").alias("words"), F.size(X.words(F.col("text"))).cast("bigint").alias("n"))
 
 
 # index
@@ -79,7 +122,7 @@ def word_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def term_doc_freq(spark: SparkSession, d: str) -> DataFrame:
-    return I.vocabulary(I.postings(pages(spark, d)))
+    return indexed(spark, d).vocab
 
 
 @query
@@ -97,7 +140,7 @@ def postings_topterms(spark: SparkSession, d: str) -> DataFrame:
     """The three most frequent terms of each page."""
     from pyspark.sql import Window
 
-    p = I.postings(pages(spark, d)).withColumn("tf", F.col("tf_title") + F.col("tf_body"))
+    p = indexed(spark, d).postings.withColumn("tf", F.col("tf_title") + F.col("tf_body"))
     w = Window.partitionBy("source_rel").orderBy(F.desc("tf"), "term")
     return p.withColumn("rank", F.row_number().over(w).cast("bigint")).where("rank <= 3").select("source_rel", "term", "tf_title", "tf_body", "dl", "rank")
 
@@ -109,32 +152,33 @@ def postings_topterms(spark: SparkSession, d: str) -> DataFrame:
 def bm25_exact_topk(spark: SparkSession, d: str) -> DataFrame:
     """One query, strict, top ten."""
     q = spark.createDataFrame([(1, "the of and")], "query_id bigint, query string")
-    hits = R.exact_top(R.query_terms(q), I.build(pages(spark, d)), 10, ROWS)
+    hits = R.exact_top(*R.measured(R.query_terms(q)), indexed(spark, d), 10)
     return hits.join(pages(spark, d).select("source_rel", "section", "title"), "source_rel").select("query_id", "rank", "source_rel", "section", "title", F.round("score", 6).alias("score"))
 
 
 @query
 def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
-    hits = R.exact_top(R.query_terms(asked(spark, d)), I.build(pages(spark, d)), 10, ROWS)
+    hits = R.exact_top(*asked_terms(spark, d), indexed(spark, d), 10)
     return hits.select("query_id", "rank", "source_rel", F.round("score", 6).alias("score"))
 
 
 @query
 def bm25_or_topk(spark: SparkSession, d: str) -> DataFrame:
-    hits = R.any_top(R.query_terms(asked(spark, d)), I.build(pages(spark, d)), 10, ROWS)
+    hits = R.any_top(*asked_terms(spark, d), indexed(spark, d), 10)
     return hits.select("query_id", "rank", "source_rel", F.round("score", 6).alias("score"))
 
 
 @query
 def least_discriminative_term(spark: SparkSession, d: str) -> DataFrame:
-    return R.least_discriminative(R.query_terms(asked(spark, d)), I.build(pages(spark, d)).vocab, ROWS)
+    terms, rows = asked_terms(spark, d)
+    return R.least_discriminative(terms, indexed(spark, d).vocab, rows)
 
 
 @query
 def relaxed_topk(spark: SparkSession, d: str) -> DataFrame:
-    t = R.query_terms(asked(spark, d)).where("n_terms >= 2")
-    index = I.build(pages(spark, d))
-    return R.exact_top(R.without_least(t, index.vocab, ROWS), index, 10, ROWS).select("query_id", "rank", "source_rel", F.round("score", 6).alias("score"))
+    terms, rows = asked_terms(spark, d)
+    index = indexed(spark, d)
+    return R.exact_top(R.without_least(terms.where("n_terms >= 2"), index.vocab, rows), rows, index, 10).select("query_id", "rank", "source_rel", F.round("score", 6).alias("score"))
 
 
 @query
@@ -180,7 +224,7 @@ def scan_vs_bm25_recall(spark: SparkSession, d: str) -> DataFrame:
     cases = cases.withColumn("query_id", F.xxhash64("name")).select("query_id", "query", "section", "expected").where(F.size(X.terms(F.col("query"))) > 0)
     lanes = {
         "scan": R.naive_scan(p.select("source_rel", F.lower("body").alias("text")), cases.select("query_id", "query")),
-        "bm25": R.exact_top(R.query_terms(cases.select("query_id", "query")), I.build(p), 10, ROWS),
+        "bm25": R.exact_top(*R.measured(R.query_terms(cases.select("query_id", "query"))), indexed(spark, d), 10),
     }
     return E.lane_recall(lanes, cases.select("query_id", "section", "expected"))
 
@@ -188,106 +232,120 @@ def scan_vs_bm25_recall(spark: SparkSession, d: str) -> DataFrame:
 # shingles and audit
 
 
+def with_texts(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
+    return S.texts(tokens(spark, d), found, AUDIT.n)
+
+
 @query
 def shingle_df(spark: SparkSession, d: str) -> DataFrame:
-    return S.both_frequencies(tokens(spark, d), AUDIT.n)
+    return with_texts(spark, d, counted(spark, d))
 
 
 @query
 def page_unique_shingles(spark: SparkSession, d: str) -> DataFrame:
-    return S.page_unique(S.both_frequencies(tokens(spark, d), AUDIT.n))
+    return with_texts(spark, d, S.page_unique(counted(spark, d)))
 
 
 @query
 def shared_content_shingles(spark: SparkSession, d: str) -> DataFrame:
-    return S.content(S.both_frequencies(tokens(spark, d), AUDIT.n))
+    return with_texts(spark, d, S.content(counted(spark, d)))
 
 
 @query
 def chrome_shingles(spark: SparkSession, d: str) -> DataFrame:
     """Shingles that the sources share and that a copy without its first line lost."""
-    p = damaged(spark, d).withColumn("md", F.regexp_replace("md", r"^[^\n]*\n?", ""))
-    return S.chrome(S.both_frequencies(A.tokenized(p), AUDIT.n))
+    t = once(spark, d, "tokens without first lines", lambda: A.tokenized(first_line_lost(spark, d)))
+    return S.texts(t, S.chrome(A.counted(t)), AUDIT.n)
 
 
 @query
 def shared_collapsed(spark: SparkSession, d: str) -> DataFrame:
     """Content shingles of a sound run that go missing when all copies lose their first line."""
-    p = damaged(spark, d)
-    pinned = S.content(S.both_frequencies(A.tokenized(p), AUDIT.n)).select("shingle")
-    lost = p.withColumn("md", F.regexp_replace("md", r"^[^\n]*\n?", ""))
-    return S.collapsed(pinned, S.both_frequencies(A.tokenized(lost), AUDIT.n))
+    t = once(spark, d, "tokens without first lines", lambda: A.tokenized(first_line_lost(spark, d)))
+    return S.texts(t, S.collapsed(S.content(counted(spark, d)), A.counted(t)), AUDIT.n)
+
+
+@query
+def collapsed_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """The first place of each collapsed shingle in the sources, as it is written there."""
+    t = once(spark, d, "tokens without first lines", lambda: A.tokenized(first_line_lost(spark, d)))
+    return S.first_quotes(t, S.collapsed(S.content(counted(spark, d)), A.counted(t)), AUDIT.n).select("quote")
 
 
 @query
 def missing_windows(spark: SparkSession, d: str) -> DataFrame:
-    return A.missing_windows(tokens(spark, d))
+    j = missing(spark, d).join(tokens(spark, d).select("page_key", "ref.tokens"), "page_key")
+    text = F.lower(F.array_join(F.slice("tokens", F.col("pos").cast("int") + 1, AUDIT.n), " "))
+    return j.select("page_key", "pos", text.alias("shingle"))
 
 
 @query
 def missing_runs(spark: SparkSession, d: str) -> DataFrame:
-    return A.missing_runs(A.missing_windows(tokens(spark, d)))
+    return A.missing_runs(missing(spark, d))
 
 
 @query
 def missing_quotes(spark: SparkSession, d: str) -> DataFrame:
-    t = tokens(spark, d)
-    return A.quotes(A.missing_runs(A.missing_windows(t)), t)
+    return A.quotes(A.missing_runs(missing(spark, d)), tokens(spark, d))
 
 
 @query
 def short_page_check(spark: SparkSession, d: str) -> DataFrame:
-    """First lines as pages, with empty copies where 3 divides the id."""
-    p = pages(spark, d).withColumn("ref", F.array_join(F.slice(X.words(F.col("body")), 1, 4), " "))
-    md = F.when(F.col("page_id").cast("bigint") % 3 == 0, F.lit("")).otherwise(F.col("ref"))
-    return A.short_pages(A.tokenized(p.select("page_key", "section", "source_rel", "ref", md.alias("md"))))
+    """Whole documents whose copies are empty where 3 divides the id: those of fewer words than a shingle are judged as short pages."""
+    p = pages(spark, d)
+    md = F.when(F.col("page_id").cast("bigint") % 3 == 0, F.lit("")).otherwise(F.col("body"))
+    t = A.tokenized(p.select("page_key", "section", "source_rel", F.col("body").alias("ref"), md.alias("md")))
+    return A.short_pages(t, A.counted(t))
 
 
 @query
 def ratio_median(spark: SparkSession, d: str) -> DataFrame:
-    return A.section_medians(tokens(spark, d)).select("section", F.round("median_ratio", 9).alias("median_ratio"))
+    return A.section_medians(A.sizes(tokens(spark, d))).select("section", F.round("median_ratio", 9).alias("median_ratio"))
 
 
 @query
 def ratio_outliers(spark: SparkSession, d: str) -> DataFrame:
-    return A.ratio_outliers(tokens(spark, d)).withColumn("ratio", F.round("ratio", 9))
+    return A.ratio_outliers(A.sizes(tokens(spark, d))).withColumn("ratio", F.round("ratio", 9))
 
 
 @query
 def audit_flags(spark: SparkSession, d: str) -> DataFrame:
-    f = A.flags(damaged(spark, d))
+    f = flagged(spark, d)
     return f.withColumn("derived_to_ref_token_ratio", F.round("derived_to_ref_token_ratio", 9)).withColumn("missing_text_samples", F.array_join("missing_text_samples", " / "))
 
 
 def listed(spark: SparkSession, d: str) -> DataFrame:
     """A baseline of the flags of pages whose id 34 divides, with one unknown page."""
-    f = A.baseline_of(A.flags(damaged(spark, d))).where(F.substring_index("page_key", "/", -1).cast("bigint") % 34 == 0)
+    f = A.baseline_of(flagged(spark, d)).where(F.substring_index("page_key", "/", -1).cast("bigint") % 34 == 0)
     extra = spark.createDataFrame([("en/unknown", 1, 5, 10)], f.schema)
     return f.unionByName(extra)
 
 
 @query
 def audit_baseline_apply(spark: SparkSession, d: str) -> DataFrame:
-    f = A.apply_baseline(A.flags(damaged(spark, d)), listed(spark, d))
+    f = A.apply_baseline(flagged(spark, d), listed(spark, d))
     return f.select("page_key", "gates", "baselined")
 
 
 @query
 def audit_baseline_stale(spark: SparkSession, d: str) -> DataFrame:
-    return A.stale(A.flags(damaged(spark, d)), listed(spark, d))
+    return A.stale(flagged(spark, d), listed(spark, d))
 
 
 @query
 def audit_verdict(spark: SparkSession, d: str) -> DataFrame:
-    return A.verdict(A.apply_baseline(A.flags(damaged(spark, d)), listed(spark, d)), A.page_shrink(10, 7))
+    """The verdict against a baseline that recorded all documents, over a corpus that lacks every 50th, with the shingles that lost first lines take along."""
+    now = pages(spark, d).where(F.col("page_id").cast("bigint") % 50 != 0).count()
+    shrunk = A.page_shrink(pages(spark, d).count(), now)
+    return A.verdict(A.apply_baseline(flagged(spark, d), listed(spark, d)), shrunk, shared_collapsed(spark, d))
 
 
 @query
 def page_shrink(spark: SparkSession, d: str) -> DataFrame:
     """Pages that a corpus without every 50th document lacks of those recorded."""
-    all_pages = pages(spark, d)
-    kept = all_pages.where(F.col("page_id").cast("bigint") % 50 != 0)
-    return all_pages.agg(F.count("*").alias("recorded")).crossJoin(kept.agg(F.count("*").alias("now"))).withColumn("page_shrink", F.greatest(F.col("recorded") - F.col("now"), F.lit(0).cast("bigint")))
+    recorded = pages(spark, d).count()
+    now = pages(spark, d).where(F.col("page_id").cast("bigint") % 50 != 0).count()
+    return spark.createDataFrame([(recorded, now, A.page_shrink(recorded, now))], "recorded bigint, now bigint, page_shrink bigint")
 
 
 # suites
@@ -316,13 +374,13 @@ def gold(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def concept_results(spark: SparkSession, d: str) -> DataFrame:
-    r = E.concept(I.build(pages(spark, d)), gold(spark, d), pages(spark, d))
+    r = E.concept(indexed(spark, d), gold(spark, d), pages(spark, d))
     return r.select("query_id", "section", "passed", F.array_join("gold", " ").alias("gold"), F.array_join("hits", " ").alias("hits"))
 
 
 @query
 def recall_by_section(spark: SparkSession, d: str) -> DataFrame:
-    r = E.concept(I.build(pages(spark, d)), gold(spark, d), pages(spark, d))
+    r = E.concept(indexed(spark, d), gold(spark, d), pages(spark, d))
     per = r.groupBy("section").agg(F.count("*").alias("cases"), F.count_if("passed").alias("found"))
     return per.unionByName(per.agg(F.lit("all").alias("section"), F.sum("cases").alias("cases"), F.sum("found").alias("found")))
 
@@ -377,8 +435,12 @@ def source_bijection(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Texts that stand in more than one document, by hash, as duplicate keys."""
-    return V.duplicates(W.table(spark, d, "documents").select(F.sha2("text", 256).alias("text_sha256")), "text_sha256")
+    """Keys that more than one page has, where every 90th document came twice and every 70th took another's id."""
+    p = pages(spark, d)
+    ident = F.col("page_id").cast("bigint")
+    more = p.where(ident % 90 == 0).unionByName(p.where(ident % 70 == 1).withColumn("page_key", F.concat_ws("/", "section", (ident - 1).cast("string"))))
+    found = p.unionByName(more)
+    return V.duplicates(found, "page_key").unionByName(V.duplicates(found, "source_rel"))
 
 
 @query
@@ -405,8 +467,7 @@ def source_sha256(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def html_title(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)
-    return html(spark, d).select("source_rel", F.trim(F.regexp_replace(unescape(raw), r"\s+", " ")).alias("title"))
+    return html(spark, d).select("source_rel", E.raw_title(F.col("html")).alias("title"))
 
 
 @query
@@ -416,7 +477,8 @@ def derived_markdown(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def content_links(spark: SparkSession, d: str) -> DataFrame:
-    p = B.derive(html(spark, d)).select("page_key", F.posexplode(B.content_links(F.col("links"), F.col("source_rel"))).alias("pos", "link"))
+    """Links that lead off each page, where the whole page is its content: the articles of the given pages have none."""
+    p = B.derive(html(spark, d), profile=WHOLE_PAGE).select("page_key", F.posexplode(B.content_links(F.col("links"), F.col("source_rel"))).alias("pos", "link"))
     return p.select("page_key", F.col("pos").cast("bigint").alias("pos"), "link.text", "link.href")
 
 
@@ -449,7 +511,8 @@ def html_audit_flags(spark: SparkSession, d: str) -> DataFrame:
     src = html(spark, d)
     ref = src.select("source_rel", F.array_join(extract_udf()(F.col("html")).getField("tokens"), " ").alias("ref"))
     p = B.derive(src).select("page_key", "section", "source_rel", "md").join(ref, "source_rel")
-    return A.flags(p).select("page_key", "ref_tokens", "md_tokens", "missing_span_count", "missing_shingle_count", "ratio_outlier", "ratio_gated")
+    t = A.tokenized(p)
+    return A.flags(t, A.counted(t)).select("page_key", "ref_tokens", "md_tokens", "missing_span_count", "missing_shingle_count", "ratio_outlier", "ratio_gated")
 
 
 @query
@@ -457,5 +520,36 @@ def raw_html_lane(spark: SparkSession, d: str) -> DataFrame:
     """Index over raw HTML under the same weights, strict, for the pages' titles."""
     p = html_title(spark, d).join(html(spark, d), "source_rel").select("section", "source_rel", "title", F.col("html").alias("body"))
     q = p.select(F.xxhash64("source_rel").alias("query_id"), F.col("title").alias("query"), "section", F.col("source_rel").alias("expected")).where(F.size(X.terms(F.col("query"))) > 0)
-    hits = R.exact_top(R.query_terms(q), I.build(p), 10, ROWS)
+    hits = R.exact_top(*R.measured(R.query_terms(q)), I.build(p), 10)
     return E.lane_recall({"raw-bm25": hits}, q.select("query_id", "section", "expected"))
+
+
+@query
+def raw_scan_lane(spark: SparkSession, d: str) -> DataFrame:
+    """Lower-cased raw pages and their sizes, by hash."""
+    s = P.raw_scan(html(spark, d))
+    return s.select("source_rel", F.sha2("text", 256).alias("text_sha256"), "bytes")
+
+
+@query
+def policy_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Queries and vocabulary lookups of a batch, in total and for each case."""
+    s = searched(spark, d, "safe-fill").stats
+    sums = s.agg(F.count("*").alias("cases"), F.sum("query_count").alias("queries"), F.sum("vocabulary_lookups").alias("lookups"))
+    return sums.select("cases", "queries", "lookups", F.round(F.col("queries") / F.col("cases"), 9).alias("queries_per_case"), F.round(F.col("lookups") / F.col("cases"), 9).alias("lookups_per_case"))
+
+
+@query
+def suite_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbouring query terms that stand side by side in a gold page's path: cases that ask for the path itself beside plain title cases."""
+    c = gold(spark, d)
+    own = c.select(F.concat(F.lit("path "), "query_id").alias("query_id"), F.translate(F.col("gold")[0], "/.", "  ").alias("query"), "gold")
+    return E.suite_leaks(c.unionByName(own))
+
+
+@query
+def first_misses(spark: SparkSession, d: str) -> DataFrame:
+    """The first twenty misses of a suite whose gold pages are those of other cases."""
+    g = gold(spark, d)
+    shifted = E.concept(indexed(spark, d), g.withColumn("gold", F.array(F.concat(F.substring_index(F.col("gold")[0], "/", 1), F.lit("/1.html")))).join(pages(spark, d).select(F.array("source_rel").alias("gold")), "gold", "left_semi"), pages(spark, d))
+    return E.first_misses(shifted).select("query_id", "section")

@@ -97,3 +97,14 @@ def source_html(tree: DataFrame | None, archive: DataFrame | None, rel: str) ->
         if df is not None and (row := df.where(df["source_rel"] == rel).select("content").first()):
             return bytes(row["content"])
     raise FileNotFoundError(rel)
+
+
+def read_member(path: str, sections: tuple[str, ...], rel: str) -> bytes:
+    """Bytes of one member by its relative path, without a look at the others' contents."""
+    check_relative(rel)
+    with zipfile.ZipFile(path) as z:
+        for name in z.namelist():
+            if name == rel or name.endswith("/" + rel):
+                if name == section_prefix([i.filename for i in z.infolist()], sections) + rel:
+                    return z.read(name)
+    raise FileNotFoundError(rel)

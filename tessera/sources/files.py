@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.files import below
 from tessera.functions.codec import decode
 from tessera.operators.audit import Baseline
 
@@ -27,9 +28,20 @@ def html_files(spark: SparkSession, root: str, sections: tuple[str, ...], any_ca
         rel = F.substring_index("path", "/" + os.path.basename(base) + "/" + s + "/", -1)
         part = files.where(path.endswith(".html")).select(F.lit(s).alias("section"), F.concat(F.lit(s + "/"), rel).alias("source_rel"), "content")
         found = part if found is None else found.unionByName(part)
+    # a file of no bytes has no split, but is a page
+    blank = [(s, f"{s}/{rel}", bytearray()) for s in sections for rel, size in below(spark, os.path.join(base, s)) if not size and (rel.lower() if any_case else rel).endswith(".html")]
+    if blank:
+        found = found.unionByName(spark.createDataFrame(blank, "section string, source_rel string, content binary"))
     return found.withColumn("html", F.decode("content", "UTF-8"))
 
 
+def discovered(spark: SparkSession, root: str, sections: tuple[str, ...]) -> DataFrame:
+    """``(source_rel)`` of the HTML files by a listing of the folders, apart from the scan that reads them; the ending counts in lower case only."""
+    base = os.path.abspath(root)
+    found = [(f"{s}/{rel}",) for s in sections for rel, _ in below(spark, os.path.join(base, s)) if rel.endswith(".html")]
+    return spark.createDataFrame(found, "source_rel string")
+
+
 def titles(spark: SparkSession, path: str, section: str) -> DataFrame:
     """``(section, page_id, title)`` from ``{"pages": [[id, title, ...], ...]}``. The last entry of an id counts; entries without two leading
     strings are passed over, and a missing or unreadable file has no titles."""
@@ -60,6 +72,12 @@ def suite(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(c["id"], c["query"], c["gold"]) for c in data["cases"]], "query_id string, query string, gold array<string>")
 
 
+def suite_facts(path: str) -> dict:
+    """Version, role and method of a suite file."""
+    data = json.loads(Path(path).read_text())
+    return {k: data[k] for k in ("corpus_version", "role", "method")}
+
+
 _BASE = "page_key string, missing_spans bigint, missing_shingles bigint, md_tokens bigint"
 
 
@@ -68,6 +86,8 @@ def audit_baseline(spark: SparkSession, path: str) -> Baseline:
     data = json.loads(Path(path).read_text())
     if data.get("page_keys"):
         keys = data["page_keys"]
+        if len(data.keys() - {"page_keys", "description"}):
+            raise ValueError("baseline mixes both forms")
         if len(set(keys)) != len(keys) or not all(keys):
             raise ValueError("baseline lists a page twice, or an empty one")
         return Baseline(spark.createDataFrame([(k, None, None, None) for k in keys], _BASE))
