@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.views import spread
+
 from . import bpe, ctxmix, exactdedup, packing, quality, secrets, simhash, topk, toxicity, warc
 from .common import table
 
@@ -17,7 +19,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.tokenize(table(spark, sf_dir, "documents"))
+    return bpe.tokenize(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,11 +33,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctxmix.score(table(spark, sf_dir, "documents"))
+    return ctxmix.score(spread(table(spark, sf_dir, "documents")))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -58,11 +60,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.scan(spread(table(spark, sf_dir, "documents")))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
