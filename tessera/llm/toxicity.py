@@ -7,7 +7,7 @@ sentence and its counterfactuals is penalised, so that the mention of a group by
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -188,9 +188,15 @@ def train(s: Sentences, label: np.ndarray, prior: float, counterfactual: float =
     if n == 0 or pos == 0 or pos == n:
         return Model(np.zeros(DIM), -np.inf)
     sample = np.where(label == 1, prior / pos, (1 - prior) / (n - pos))
-    swapped = counterfactuals(s.terms, s.term_bounds)
-    w, b = np.zeros(DIM), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(DIM + 1), np.zeros(DIM + 1)
+    of, pair, feat, val = counterfactuals(s.terms, s.term_bounds)
+    # only features that occur are trained; all others weigh nothing
+    there = np.zeros(DIM, bool)
+    there[s.ids] = there[feat] = True
+    place = np.cumsum(there) - 1
+    s, swapped = replace(s, ids=place[s.ids]), (of, pair, place[feat], val)
+    size = int(there.sum())
+    w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
+    m, v = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
         _, g, gb = objective(w, b, s, label, sample, swapped, counterfactual, l2)
         full = np.append(g, gb)
@@ -199,7 +205,9 @@ def train(s: Sentences, label: np.ndarray, prior: float, counterfactual: float =
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w -= step[:-1]
         b -= step[-1]
-    return Model(w.astype(np.float32).astype(np.float64), float(b))
+    weights = np.zeros(DIM)
+    weights[there] = w.astype(np.float32)
+    return Model(weights, float(b))
 
 
 _SENTENCE = T.StructType([T.StructField("f", T.ArrayType(T.IntegerType())), T.StructField("t", T.ArrayType(T.IntegerType()))])
