@@ -149,12 +149,19 @@ def slow_bits(texts, at):
 
 
 def test_lm_score_against_a_slow_coder(spark, monkeypatch):
-    monkeypatch.setattr(ctxmix, "BLOCK", 300)
     texts = [prose(k, 25) for k in range(8)] + ["", "é", "x", prose(99, 60), "".join(map(chr, np.random.default_rng(1).integers(33, 126, 150)))]
-    got = {r.doc_id: r.total_bits for r in ctxmix.score(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)).collect()}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    got = {r.doc_id: r.total_bits for r in ctxmix.score(docs).collect()}
     for k in range(len(texts)):
         want = slow_bits(texts, k)
         assert abs(got[k] - want) < 0.02 + 2e-4 * want, (k, got[k], want)
+    # weights start anew after a block, and contexts go on
+    monkeypatch.setattr(ctxmix, "BLOCK", 100)
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    found = ctxmix.Coder(ctxmix.fit(docs), True).bits(np.concatenate(raw), np.cumsum([0, *map(len, raw)]))
+    for k in range(len(texts)):
+        want = slow_bits(texts, k)
+        assert abs(found[k] - want) < 0.02 + 2e-4 * want, (k, found[k], want)
 
 
 def test_lm_score_of_ties_and_repeats(spark):
