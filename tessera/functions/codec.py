@@ -6,6 +6,7 @@ import base64
 import binascii
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,8 +24,19 @@ def fnv1a(shingle: str) -> int:
 
 @F.arrow_udf(T.LongType())
 def fingerprint(shingles: pa.Array) -> pa.Array:
-    """``fnv1a`` as the signed number of the same bits."""
-    return pa.array([None if s is None else (fnv1a(s) ^ (1 << 63)) - (1 << 63) for s in shingles.to_pylist()], pa.int64())
+    """``fnv1a`` as the signed number of the same bits, of all shingles side by side, a byte at a time."""
+    raw = [b"" if s is None else s.encode().replace(b" ", b"\x1f") for s in shingles.to_pylist()]
+    size = np.array([len(r) for r in raw], np.int64)
+    order = np.argsort(-size, kind="stable")
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    start = (np.cumsum(size) - size)[order]
+    live = np.searchsorted(-size[order], -np.arange(size.max() if len(size) else 0), side="left")  # shingles longer than j
+    h = np.full(len(raw), 0xCBF29CE484222325, np.uint64)
+    for j, n in enumerate(live):
+        h[:n] = (h[:n] ^ data[start[:n] + j]) * np.uint64(0x100000001B3)
+    out = np.empty(len(raw), np.uint64)
+    out[order] = h
+    return pa.array(out.view(np.int64), mask=np.asarray(shingles.is_null()))
 
 
 def encode(values: Iterable[int]) -> str:

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{Nd}]+"
 PLAIN = r"[\p{L}\p{Nd}_.\-]+"
-INDEXED = r"[\p{L}\p{N}]+"
-
-#: Decomposable Latin letters and their bases; letters that do not decompose stay as they are.
-FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+#: Letters, numbers and private characters; combining marks go on with a token but don't begin one.
+INDEXED = r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\x{0300}-\x{036F}]*"
+
+#: Lower-case letters that are an ASCII letter and one mark, by the character database; letters with more marks or other bases stay as they are.
+_MARKED = [(c, d[0]) for c in map(chr, range(0xC0, 0x1F00)) if c.islower() and len(d := unicodedata.normalize("NFD", c)) == 2 and d[0].isascii()]
+#: What ``fold`` turns into what; the combining marks at the end turn into nothing.
+FOLD_FROM = "".join(c for c, _ in _MARKED) + "".join(map(chr, range(0x300, 0x370)))
+FOLD_TO = "".join(d for _, d in _MARKED)
 
 
 def words(text: Column) -> Column:

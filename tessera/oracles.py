@@ -6,13 +6,14 @@ import unicodedata
 
 
 _W = r"'[\p{L}\p{Nd}]+'"
-_N = r"'[\p{L}\p{N}]+'"
+_N = r"'[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\x{0300}-\x{036F}]*'"
 
 
-#: Latin letters that decompose into a base letter and marks, from the character database and not from the engine.
-_LATIN = [c for c in map(chr, range(0xC0, 0x180)) if c.islower() and len(unicodedata.normalize("NFD", c)) > 1]
-FOLD_FROM = "".join(_LATIN)
-FOLD_TO = "".join(unicodedata.normalize("NFD", c)[0] for c in _LATIN)
+#: Lower-case letters of one ASCII letter and one mark, listed apart from the engine's own table, and the marks, which go.
+_SPLIT = {chr(k): unicodedata.decomposition(chr(k)).split() for k in range(192, 7936)}
+_PLAIN = {c: chr(int(d[0], 16)) for c, d in _SPLIT.items() if len(d) == 2 and d[0][0] != "<" and int(d[0], 16) < 128 and c == c.lower()}
+FOLD_FROM = "".join(_PLAIN) + "".join(chr(k) for k in range(768, 880))
+FOLD_TO = "".join(_PLAIN.values())
 
 
 def _fold(x: str) -> str:
@@ -33,9 +34,11 @@ vocab AS (SELECT term, count(*) AS doc, sum(tf_title + tf_body)::BIGINT AS cnt F
 st AS (SELECT count(*) AS n, sum(dl)::DOUBLE / count(*) AS avgdl FROM dl)"""
 INDEX = f"{PG}, {_INDEX}"
 
-ASKED = f"""q AS (SELECT * FROM (
-  SELECT item_id AS query_id, array_to_string(({_terms('text')})[1:4], ' ') AS query FROM benchmark
-  UNION ALL VALUES (-1, 'the zzqx'), (-2, 'the of the'), (-3, 'zzqx zzqy'), (-4, 'and of for with'), (-5, 'été la zzqx'), (-6, 'the')) WHERE query <> '')"""
+ASKED = f"""qb1 AS (SELECT item_id, unnest(range(len(t))) AS pos, unnest(t) AS term FROM (SELECT item_id, {_terms('text')} AS t FROM benchmark)),
+qbf AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT item_id, term FROM qb1) GROUP BY term),
+qbw AS (SELECT item_id, pos, sum(1000000 // df) OVER w AS score, list(term) OVER w AS ws FROM qb1 JOIN qbf USING (term) WINDOW w AS (PARTITION BY item_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+q AS (SELECT item_id AS query_id, array_to_string(ws, ' ') AS query FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, pos) AS k FROM qbw WHERE len(ws) = 4) WHERE k = 1
+  UNION ALL VALUES (-1, 'the zzqx'), (-2, 'the of the'), (-3, 'zzqx zzqy'), (-4, 'and of for with'), (-5, 'été la zzqx'), (-6, 'the'))"""
 
 
 def _qt(source: str = "q", name: str = "qt") -> str:

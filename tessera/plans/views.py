@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import text as X
+from tessera.operators import evalsuite as E
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,13 +34,15 @@ def html_source(pages: DataFrame) -> DataFrame:
     return pages.select(section.alias("section"), F.concat(section, F.lit("/"), F.col("page_id").cast("string"), F.lit(".html")).alias("source_rel"), "html")
 
 
-def benchmark_queries(benchmark: DataFrame, size: int = 4) -> DataFrame:
-    """``(query_id, query)``: the first terms of each passage, and fixed queries that reach every branch of the policy."""
-    own = benchmark.select(F.col("item_id").cast("bigint").alias("query_id"), F.array_join(F.slice(X.terms(F.col("text")), 1, size), " ").alias("query"))
+def benchmark_queries(benchmark: DataFrame) -> DataFrame:
+    """``(query_id, query)``: of each passage the four terms in sequence that are rarest among all passages, and fixed queries that reach every branch of the policy."""
+    none = F.lit("")
+    passages = benchmark.select(none.alias("section"), F.col("item_id").cast("string").alias("source_rel"), none.alias("title"), none.alias("page_id"), F.col("text").alias("body"))
+    own = E.body_queries(passages).select(F.col("source_rel").cast("bigint").alias("query_id"), "query")
     fixed = benchmark.sparkSession.createDataFrame(
         [(-1, "the zzqx"), (-2, "the of the"), (-3, "zzqx zzqy"), (-4, "and of for with"), (-5, "été la zzqx"), (-6, "the")], "query_id bigint, query string"
     )
-    return own.unionByName(fixed).where("query <> ''")
+    return own.unionByName(fixed)
 
 
 def damaged_documents(docs: DataFrame) -> DataFrame:

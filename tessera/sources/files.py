@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import re
+from datetime import datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -126,8 +127,10 @@ def check_marker(marker: dict, url_prefixes: tuple[str, ...]) -> None:
         raise ValueError("marker: url")
     if not _HASH.fullmatch(str(marker.get("zip_sha256", ""))):
         raise ValueError("marker: hash")
-    if not _TIME.fullmatch(str(marker.get("fetched_at_utc", ""))):
+    at = str(marker.get("fetched_at_utc", ""))
+    if not _TIME.fullmatch(at):
         raise ValueError("marker: time")
+    datetime.fromisoformat(at)  # a day or an hour that isn't one raises too
     name = marker.get("zip_name", "")
     if name and (os.path.basename(name) != name or name in (".", "..") or "\\" in name):
         raise ValueError("marker: archive name")

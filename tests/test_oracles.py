@@ -7,7 +7,7 @@ from tessera import oracles, queries
 
 DATA = "/root/testdata/sf0.001"
 #: One query for each operator family; the driver runs all of them.
-NAMES = ["terms_tokenize", "term_doc_freq", "index_stats", "bm25_batch", "bm25_or_topk", "safe_fill", "fused_rrf", "search_stats", "naive_scan_topk", "shingle_df", "missing_runs", "missing_quotes", "short_page_check", "ratio_outliers", "page_shrink"]
+NAMES = ["terms_tokenize", "term_doc_freq", "index_stats", "bm25_batch", "bm25_or_topk", "safe_fill", "fused_rrf", "search_stats", "naive_scan_topk", "shingle_df", "missing_runs", "missing_quotes", "short_page_check", "ratio_outliers", "page_shrink", "audit_verdict", "collapsed_quotes", "content_links", "raw_html_lane", "duplicate_keys"]
 
 
 def rows(table):
@@ -37,6 +37,16 @@ def test_shingles_of_short_streams(spark):
     assert [r[0] for r in runs.select(contains_run(F.col("h"), F.col("n"))).collect()] == [True, False, True]
 
 
+def test_index_tokens_fold_marks(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions.text import index_tokens
+
+    rows = {"É\u0301tude e\u0301a": ["etude", "ea"], "Ștefan ẹ ǎ": ["stefan", "e", "a"], "ế ß ά Ω": ["ế", "ß", "ά", "ω"], "a-b_c²": ["a", "b", "c²"], "\u0301x": ["x"], "": []}
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    assert [r[0] for r in df.select(index_tokens(F.col("t"))).collect()] == list(rows.values())
+
+
 def test_entry_without_training_operators(monkeypatch):
     import importlib
     import sys

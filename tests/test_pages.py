@@ -243,6 +243,14 @@ def test_fingerprint_codec():
             codec.decode(bad)
 
 
+def test_fingerprints_of_columns(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["a", "one two three", "", None, "é ü x", "one two three four five", "a"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "s string").coalesce(1).select(codec.fingerprint(F.col("s"))).collect()]
+    assert [None if g is None else g & (2**64 - 1) for g in got] == [None if t is None else codec.fnv1a(t) for t in texts]
+
+
 def test_markdown_body_is_recovered(spark):
     from pyspark.sql import functions as F
 
