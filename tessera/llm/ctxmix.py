@@ -265,28 +265,30 @@ def fit(docs: DataFrame, text_col: str = "text") -> Counts:
 _AGREE = np.array([8 - x.bit_length() for x in range(256)] + [-1], np.int8)
 
 
+def _levels(k: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """``(len(k), 9)``: how often each context came with the first 0 to 8 bits of the key's byte. ``k`` are distinct keys in order, context before byte; the first i of them
+    came ``upto[i]`` times."""
+    agree = _AGREE[np.minimum(k[1:] ^ k[:-1], np.uint64(256)).astype(np.intp)]
+    level = np.empty((len(k), 9), np.float32)
+    level[:, 8] = upto[1:] - upto[:-1]
+    for i in range(8):  # the n-grams that share their context and first i bits lie side by side
+        at = np.flatnonzero(agree < i) + 1
+        a, b = np.append(0, at), np.append(at, len(k))
+        level[:, i] = np.repeat((upto[b] - upto[a]).astype(np.float32), b - a)
+    return level
+
+
 def own_totals(row: np.ndarray, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
     """What ``Counts.totals`` would give for each row's n-grams if only that row were counted. ``keys`` came ``n`` times in ``row`` (below 2^24)."""
     out = np.empty((len(keys), len(USED), 9), np.float32)
     if not len(keys):
         return out
-    top = row.astype(np.uint64) << np.uint64(40)
     for place, o in enumerate(USED):
-        k = top | context_bytes(keys, o)
+        k = row.astype(np.uint64) << np.uint64(40) | context_bytes(keys, o)
         by = np.argsort(k)
         k = k[by]
-        head = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        ends = np.append(head, len(k))
-        upto = np.append(0, np.cumsum(n[by]))[ends]
-        k = k[head]
-        agree = _AGREE[np.minimum(k[1:] ^ k[:-1], np.uint64(256)).astype(np.intp)]
-        level = np.empty((len(k), 9), np.float32)
-        level[:, 8] = upto[1:] - upto[:-1]
-        for i in range(8):  # the n-grams that share their context and first i bits lie side by side
-            at = np.flatnonzero(agree < i) + 1
-            a, b = np.append(0, at), np.append(at, len(k))
-            level[:, i] = np.repeat((upto[b] - upto[a]).astype(np.float32), b - a)
-        out[by, place] = np.repeat(level, np.diff(ends), axis=0) if len(head) < len(by) else level
+        ends = np.append(np.flatnonzero(np.append(True, k[1:] != k[:-1])), len(k))
+        out[by, place] = np.repeat(_levels(k[ends[:-1]], np.append(0, np.cumsum(n[by]))[ends]), np.diff(ends), axis=0)
     return out
 
 
@@ -319,24 +321,33 @@ class Coder:
         return which
 
     def _signed(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(which, x, seen)``: for each byte its place in ``x``, the log odds of the bits that came by order, and in ``seen``, how many orders know its context."""
+        """``(at, x, seen)``: for each byte and predictor its place in ``x``, the log odds of the bits that came, and in ``seen``, how many predictors know the byte's
+        context. What a row repeats of a predictor's contexts and bytes is computed once."""
         which = self._numbers(data, off)
-        at, xs, seen, n = np.empty(len(data), np.int32), [], [], 0
+        at, seen = np.empty((len(data), len(USED)), np.int32), np.zeros(len(data), np.int64)
+        xs, base = [], 0
         for i, j in tn.slices(off, CHUNK):
-            own = which[off[i] : off[j]].astype(np.int64)
-            if not len(own):
+            a, b = off[i], off[j]
+            if a == b:
                 continue
-            row = np.repeat(np.arange(j - i), np.diff(off[i : j + 1]))
-            pair, place, count = np.unique((row << 32) | own, return_inverse=True, return_counts=True)
-            gram = pair & 0xFFFFFFFF
-            total = self.totals[gram]
-            if self.within:
-                total -= own_totals(pair >> 32, self.grams.keys[gram], count)
-            at[off[i] : off[j]] = place + n
-            xs.append(stretch(total))
-            seen.append(np.count_nonzero(total[:, :, 0], axis=1))
-            n += len(pair)
-        return at, np.concatenate(xs), np.concatenate(seen)
+            keys = self.grams.keys[which[a:b]]
+            row = np.repeat(np.arange(j - i, dtype=np.uint64) << np.uint64(40), np.diff(off[i : j + 1]))
+            for place, o in enumerate(USED):
+                k = row | context_bytes(keys, o)
+                by = np.argsort(k)
+                k = k[by]
+                new = np.append(True, k[1:] != k[:-1])
+                head = np.flatnonzero(new)
+                inverse = np.empty(b - a, np.int64)
+                inverse[by] = np.cumsum(new) - 1
+                total = self.totals[which[a:b][by[head]], place]
+                if self.within:
+                    total -= _levels(k[head], np.append(head, b - a))
+                at[a:b, place] = inverse + base
+                base += len(head)
+                seen[a:b] += (total[:, 0] > 0)[inverse]
+                xs.append(stretch(total))
+        return at, np.concatenate(xs), seen
 
     def bits(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Bits that each row's bytes cost. All blocks of all rows go on a byte at a time; each has weights of its own, which every bit that came moves."""
@@ -355,8 +366,8 @@ class Coder:
         base = np.arange(len(rows)) * SETS
         total = np.zeros(len(rows))
         for t, n in enumerate(live):
-            here = at.take(start[:n] + t)
-            x = x_of.take(here, axis=0)
+            here = start[:n] + t
+            x = x_of.take(at.take(here, axis=0), axis=0)
             sets = base[:n] + seen_of.take(here)
             w = weights.take(sets, axis=0)
             z = np.einsum("noi,noi->ni", w, x)  # of each bit: log odds against what came
