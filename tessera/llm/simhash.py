@@ -33,6 +33,10 @@ WORDS64 = BITS // 64
 RADIUS = 60
 #: Children of an index node.
 FANOUT = 8
+#: Pairs of a fingerprint and a node that the search tests at once, pairs of near rows that it holds before it joins them, and rows of whole buckets that it takes together.
+STEP = 1 << 14
+EDGES = 1 << 20
+FLUSH = 1 << 16
 #: Bytes over which a word is taken in runs, and bytes of a run.
 LONG = 40
 RUN = 8
@@ -132,9 +136,12 @@ def plan_bands(n: int) -> list[np.ndarray]:
 
 def gray_order(fp: np.ndarray) -> np.ndarray:
     """Rows as big-endian uint64 words of their Gray rank (the prefix XOR of the bits)."""
-    bits = np.unpackbits(fp.astype(">u8").view(np.uint8).reshape(len(fp), -1), axis=1)
-    rank = np.bitwise_xor.accumulate(bits, axis=1)
-    return np.packbits(rank, axis=1).view(">u8").astype(np.uint64)
+    out = fp.astype(np.uint64)
+    for shift in (1, 2, 4, 8, 16, 32):
+        out ^= out >> np.uint64(shift)
+    for k in range(1, out.shape[1]):  # an odd number of bits before a word turns all of it
+        out[:, k] ^= np.uint64(0) - (out[:, k - 1] & np.uint64(1))
+    return out
 
 
 def _components(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
@@ -190,6 +197,7 @@ def index_components(bucket: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -
     label = _leaders(bucket, fp, radius)
     rank = gray_order(fp)
     order = np.lexsort((*(rank[:, k] for k in range(WORDS64 - 1, -1, -1)), label, bucket))
+    del rank
     x, bk, lab = fp[order], bucket[order], label[order]
     # levels, leaves first; a node covers at most FANOUT consecutive nodes of one bucket
     start = [np.arange(n)]
@@ -210,40 +218,67 @@ def index_components(bucket: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -
         low.append(np.minimum.reduceat(low[-1], cut_at))
         high.append(np.maximum.reduceat(high[-1], cut_at))
     top = len(start) - 1
+    if not top:
+        return label
     mask = [a | ~s for a, s in zip(both, some)]  # bits on which all leaves below agree
     last = [np.arange(n)]  # last leaf of each node
+    kids = [np.zeros(n, np.int64)]
+    for lv in range(1, top + 1):
+        end = np.append(start[lv][1:], len(start[lv - 1]))
+        kids.append(end - start[lv])
+        last.append(last[-1][end - 1])
+    one = [np.where(lo == hi, lo, -1) for lo, hi in zip(low, high)]  # the label of all leaves below
+    # word by word: the bits that a node has and no ancestor, and their values
+    own, value = [None] * (top + 1), [None] * (top + 1)
     for lv in range(1, top + 1):
-        last.append(last[-1][np.append(start[lv][1:], len(start[lv - 1])) - 1])
-    parent_mask = [None] * (top + 1)
-    for lv in range(top):
-        kids = np.diff(np.append(start[lv + 1], len(start[lv])))
-        parent_mask[lv] = np.repeat(mask[lv + 1], kids, axis=0)
-    edges_a, edges_b = [], []
+        m = mask[lv] if lv == top else mask[lv] & ~np.repeat(mask[lv + 1], kids[lv + 1], axis=0)
+        own[lv], value[lv] = np.ascontiguousarray(m.T), np.ascontiguousarray((both[lv] & m).T)
+    # leaves of a node side by side, with the bits that it leaves open
+    leaf = start[1][:, None] + np.arange(FANOUT)
+    leaf[np.arange(FANOUT) >= kids[1][:, None]] = -1
+    rest = np.ascontiguousarray(~mask[1].T)
+    words = np.ascontiguousarray(x.T)
+    leaves = words[:, leaf] & rest[:, :, None]
+    del both, some, mask, low, high, x
     root_of = np.searchsorted(node_bucket[top], bk)
-    step = 1 << 16
-    for q0 in range(0, n, step):
-        q = np.arange(q0, min(n, q0 + step))
-        node = root_of[q]
-        acc = np.bitwise_count((x[q] ^ both[top][node]) & mask[top][node]).sum(axis=1, dtype=np.int64)
-        for lv in range(top, -1, -1):
-            keep = (acc <= radius) & (last[lv][node] > q)
-            keep &= ~((low[lv][node] == high[lv][node]) & (low[lv][node] == lab[q]))
+    edges_a: list[np.ndarray] = []
+    edges_b: list[np.ndarray] = []
+    held = 0
+    for q0 in range(0, n, STEP):
+        q = np.arange(q0, min(n, q0 + STEP))
+        # depth first, STEP at a time: no more than FANOUT * STEP wait on a level, however large the buckets
+        waiting = [(top, q, root_of[q], np.zeros(len(q), np.uint16))]
+        while waiting:
+            lv, q, node, acc = waiting.pop()
+            if len(q) > STEP:
+                waiting.append((lv, q[STEP:], node[STEP:], acc[STEP:]))
+                q, node, acc = q[:STEP], node[:STEP], acc[:STEP]
+            keep = (last[lv][node] > q) & (one[lv][node] != lab[q])
             q, node, acc = q[keep], node[keep], acc[keep]
-            if lv == 0 or not len(q):
-                break
-            kids_from = start[lv][node]
-            kids = np.append(start[lv][1:], len(start[lv - 1]))[node] - kids_from
-            pos = np.arange(kids.sum()) - np.repeat(np.cumsum(kids) - kids, kids)
-            q, acc = np.repeat(q, kids), np.repeat(acc, kids)
-            node = np.repeat(kids_from, kids) + pos
-            own = mask[lv - 1][node] & ~parent_mask[lv - 1][node]
-            acc = acc + np.bitwise_count((x[q] ^ both[lv - 1][node]) & own).sum(axis=1, dtype=np.int64)
-        if len(q):
-            edges_a.append(order[q])
-            edges_b.append(order[node])
-    a = np.concatenate(edges_a) if edges_a else np.zeros(0, np.int64)
-    b = np.concatenate(edges_b) if edges_b else np.zeros(0, np.int64)
-    return _components(n, a, b, label)
+            for w in range(WORDS64):
+                acc = acc + np.bitwise_count((words[w][q] & own[lv][w][node]) ^ value[lv][w][node])
+            keep = acc <= radius
+            q, node, acc = q[keep], node[keep], acc[keep]
+            if not len(q):
+                continue
+            if lv > 1:
+                many = kids[lv][node]
+                pos = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                waiting.append((lv - 1, np.repeat(q, many), np.repeat(start[lv][node], many) + pos, np.repeat(acc, many)))
+                continue
+            apart = acc[:, None]
+            for w in range(WORDS64):
+                apart = apart + np.bitwise_count((words[w][q] & rest[w][node])[:, None] ^ leaves[w][node])
+            at, side = np.nonzero(apart <= radius)
+            a, b = q[at], leaf[node[at], side]
+            keep = b > a
+            edges_a.append(order[a[keep]])
+            edges_b.append(order[b[keep]])
+            held += len(edges_a[-1])
+            if held > EDGES:
+                label = _components(n, np.concatenate(edges_a), np.concatenate(edges_b), label)
+                edges_a, edges_b, held = [], [], 0
+    return _components(n, np.concatenate(edges_a), np.concatenate(edges_b), label) if held else label
 
 
 def _bucket_edges(radius: int):
@@ -267,7 +302,7 @@ def _bucket_edges(radius: int):
             held.append(batch)
             rows += batch.num_rows
             b = batch.column(0).to_numpy()
-            if rows < 1 << 17 or last == b[-1]:
+            if rows < FLUSH or last == b[-1]:
                 last = b[-1]
                 continue  # too few rows, or one bucket goes on: nothing is put together again and again
             last = b[-1]

@@ -3,6 +3,7 @@
 import itertools
 import random
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -199,6 +200,29 @@ def test_simhash_streams_a_hot_bucket_over_many_batches():
     assert got == {(0, 1), (2, 3), (4, 5), (6, 7)}
 
 
+def test_simhash_search_holds_little_in_large_buckets():
+    rng = np.random.default_rng(4)
+    fp = rng.integers(0, 2**64, (6000, 4), dtype=np.uint64)
+    tracemalloc.start()
+    simhash.index_components(np.repeat(np.arange(3), 2000), fp)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 32e6  # 784 MB when all pairs of a level were held at once
+
+
+def test_simhash_search_is_exact_in_small_steps(monkeypatch):
+    rng = np.random.default_rng(5)
+    fp = rng.integers(0, 2**64, (40, 4), dtype=np.uint64)[rng.integers(0, 40, 900)]
+    for k in range(len(fp)):
+        for b in rng.choice(256, rng.integers(0, 60), replace=False):
+            fp[k, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    bucket = np.sort(rng.integers(0, 3, 900))
+    a, b = np.nonzero(np.triu((np.bitwise_count(fp[:, None] ^ fp[None]).sum(-1) <= simhash.RADIUS) & (bucket[:, None] == bucket[None]), 1))
+    monkeypatch.setattr(simhash, "STEP", 37)
+    monkeypatch.setattr(simhash, "EDGES", 50)
+    assert (simhash.index_components(bucket, fp) == simhash._components(900, a, b)).all()
+
+
 # toxicity
 
 
