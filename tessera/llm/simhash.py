@@ -40,6 +40,8 @@ FLUSH = 1 << 16
 #: Bytes over which a word is taken in runs, and bytes of a run.
 LONG = 40
 RUN = 8
+#: Bytes of texts whose words are taken at once.
+PIECE = 1 << 19
 _CAP = 3
 _GROUP = 255 // _CAP
 
@@ -53,38 +55,17 @@ for _v in range(256):
 def fingerprints(column: pa.Array) -> np.ndarray:
     """``(n, 4)`` uint64 fingerprints; a row of zeros where a text has no word that weighs.
 
-    Bits are counted eight at a time in the byte lanes of a uint64 over runs of at most 85 words,
-    which cannot overflow a lane, and the runs are then added up."""
+    Texts are taken ``PIECE`` bytes at a time, a longer one in pieces whose counts are added up: what is held besides the texts doesn't grow with them."""
     data, off = tn.flat(column)
     out = np.zeros((len(off) - 1, WORDS64), np.uint64)
-    for i, j in tn.slices(off, 2 << 20):
-        w = tn.Words(data[off[i] : off[j]], off[i : j + 1] - off[i])
-        weight = np.clip(w.length - 3, 0, _CAP)
-        keep = weight > 0
-        if not keep.any():
-            continue
-        bounds = np.concatenate([[0], np.cumsum(keep)])[w.bounds]
-        hashes, weight = w.hash[keep], weight[keep].astype(np.uint64)
-        long = np.flatnonzero(w.length > LONG)
-        if len(long):
-            row, hashes, weight = _with_runs(w, keep, long)
-            bounds = np.searchsorted(row, np.arange(j - i + 1))
-        total = tn.row_sums(weight.astype(np.int64), bounds)
-        # runs: every _GROUP words, and anew at each row
-        row = np.repeat(np.arange(j - i), np.diff(bounds))
-        at = np.arange(len(hashes)) - bounds[:-1][row]
-        first = np.flatnonzero(at % _GROUP == 0)
-        run_bounds = np.searchsorted(first, bounds)
-        bits = np.zeros((j - i, BITS), bool)
-        for k in range(WORDS64):
-            raw = tn.mix64(hashes, k + 1).view(np.uint8).reshape(-1, 8)
-            for b in range(8):
-                lanes = _LANES[raw[:, b]]
-                lanes *= weight
-                runs = np.add.reduceat(lanes, first).view(np.uint8).reshape(-1, 8)
-                count = tn.row_sums(runs, run_bounds)
-                at0 = k * 64 + b * 8
-                bits[:, at0 : at0 + 8] = 2 * count > total[:, None]
+    for i, j in tn.slices(off, PIECE):
+        part = data[off[i] : off[j]]
+        if len(part) <= 2 * PIECE:
+            count, total = _counts(part, off[i : j + 1] - off[i])
+        else:
+            each = [_counts(part[a:b], np.array([0, b - a])) for a, b in _pieces(part)]
+            count, total = (sum(x[k] for x in each) for k in (0, 1))
+        bits = 2 * count > total[:, None]
         out[i:j] = np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
         out[i:j][total == 0] = 0
         # a text with words whose majority happens to be all zeros is told from one without
@@ -93,6 +74,58 @@ def fingerprints(column: pa.Array) -> np.ndarray:
     return out
 
 
+def _pieces(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``PIECE`` bytes of one text that have its words and runs, each once: cut at a separator, or inside a long word where
+    both of its parts are long too, which share the bytes of the runs that start before the cut."""
+    at = 0
+    while len(data) - at > PIECE + 4 * LONG:
+        near = np.flatnonzero(tn.WORD_LUT[data[at + PIECE : at + PIECE + 3 * LONG]] == 0)
+        if len(near):
+            end = at + PIECE + int(near[0])
+            yield at, end
+            at = end
+        else:
+            end = at + PIECE + LONG + RUN
+            yield at, end
+            at = end - RUN + 1
+    yield at, len(data)
+
+
+def _counts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row how much of its words' weight has each bit, ``(rows, 256)``, and the whole weight.
+
+    Bits are counted eight at a time in the byte lanes of a uint64 over runs of at most 85 words,
+    which cannot overflow a lane, and the runs are then added up."""
+    n = len(off) - 1
+    count = np.zeros((n, BITS), np.int64)
+    w = tn.Words(data, off)
+    weight = np.clip(w.length - 3, 0, _CAP)
+    keep = weight > 0
+    if not keep.any():
+        return count, np.zeros(n, np.int64)
+    bounds = np.concatenate([[0], np.cumsum(keep)])[w.bounds]
+    hashes, weight = w.hash[keep], weight[keep].astype(np.uint64)
+    long = np.flatnonzero(w.length > LONG)
+    if len(long):
+        row, hashes, weight = _with_runs(w, keep, long)
+        bounds = np.searchsorted(row, np.arange(n + 1))
+    total = tn.row_sums(weight.astype(np.int64), bounds)
+    # runs: every _GROUP words, and anew at each row
+    row = np.repeat(np.arange(n), np.diff(bounds))
+    at = np.arange(len(hashes)) - bounds[:-1][row]
+    first = np.flatnonzero(at % _GROUP == 0)
+    run_bounds = np.searchsorted(first, bounds)
+    for k in range(WORDS64):
+        raw = tn.mix64(hashes, k + 1).view(np.uint8).reshape(-1, 8)
+        for b in range(8):
+            lanes = _LANES[raw[:, b]]
+            lanes *= weight
+            runs = np.add.reduceat(lanes, first).view(np.uint8).reshape(-1, 8)
+            at0 = k * 64 + b * 8
+            count[:, at0 : at0 + 8] = tn.row_sums(runs, run_bounds)
+    return count, total
+
+
 def _with_runs(w: tn.Words, keep: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(row, hash, weight)`` of the words that weigh, in the order of rows, the long ones replaced by their runs."""
     rows = w.rows()

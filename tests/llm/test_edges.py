@@ -185,6 +185,27 @@ def test_simhash_of_texts_without_blanks():
     assert apart(0, 1) < 20 and apart(0, 2) > 90
 
 
+def test_simhash_of_a_long_text_holds_little():
+    for text in ("plain words with blanks between them " * 200_000, "好" * 1_000_000):
+        column = pa.array([text])
+        tracemalloc.start()
+        simhash.fingerprints(column)
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert held < 64e6  # 176 MB for the first when all its words were taken at once
+
+
+def test_simhash_of_pieces_is_that_of_the_whole(monkeypatch):
+    rnd = random.Random(6)
+    ends = [" ", "", ", ", "\n", "é ", "x" * 50, "ab" * 200]
+    texts = ["".join(rnd.choice(["alpha", "betagamma", "the", "deltas", "12345", "好好学习"]) + rnd.choice(ends) for _ in range(400)) for _ in range(6)]
+    column = pa.array([*texts, None, "", "好" * 3000, "x" * 500 + " " + "yz" * 2000, "a b " * 900 + "word"], pa.string())
+    whole = simhash.fingerprints(column)
+    for size in (150, 333, 4096):
+        monkeypatch.setattr(simhash, "PIECE", size)
+        assert (simhash.fingerprints(column) == whole).all()
+
+
 def test_simhash_streams_a_hot_bucket_over_many_batches():
     rng = np.random.default_rng(2)
     fp = np.repeat(rng.integers(0, 2**63, (4, 4), dtype=np.uint64), 2, axis=0)
