@@ -21,16 +21,32 @@ def clip(text: Column, most: int = QUOTE_BYTES) -> Column:
     return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(F.element_at(fit, 1), F.lit("...")))
 
 
-def tokenized(pages: DataFrame, cfg: AuditConfig = AUDIT) -> DataFrame:
-    """``pages(page_key, section, source_rel, ref, md)`` with ``ref`` and ``md`` as structs of ``tokens`` and shingle numbers ``h``. The whole Markdown
-    counts. It is a table of its own, so that no later step splits a text again."""
-    both = lambda c: X.let(X.words(F.col(c)), lambda w: F.struct(w.alias("tokens"), X.shingle_hashes(w, cfg.n).alias("h")))
-    return keep(pages.select("page_key", "section", "source_rel", both("ref").alias("ref"), both("md").alias("md")), "tokens")
+def split(pages: DataFrame, *more: str) -> DataFrame:
+    """``pages(page_key, section, source_rel, ref, md)`` and other text columns ``more``, each text as its tokens; ``md`` is null where it has those of ``ref``, and a
+    text like the source's is not split again. The whole Markdown counts. Whoever reads it splits the texts: that costs less than to write and read the tokens."""
+    own = F.when(F.col("md").eqNullSafe(F.col("ref")), F.lit(None)).otherwise(X.words(F.col("md")))
+    t = pages.select("page_key", "section", "source_rel", X.words(F.col("ref")).alias("ref"), own.alias("md"), *[X.words(F.col(c)).alias(c) for c in more])
+    return t.withColumn("md", F.nullif("md", "ref"))
 
 
-def counted(tokens: DataFrame) -> DataFrame:
+def tokenized(pages: DataFrame) -> DataFrame:
+    """``split`` as a table of its own, for pages whose texts cost much to make."""
+    return keep(split(pages), "tokens")
+
+
+def counted(tokens: DataFrame, cfg: AuditConfig = AUDIT) -> DataFrame:
     """``shingles.frequencies`` as a table of its own."""
-    return keep(S.frequencies(tokens), "frequencies")
+    return keep(S.frequencies(tokens, n=cfg.n), "frequencies")
+
+
+def lost(tokens: DataFrame, cfg: AuditConfig = AUDIT) -> DataFrame:
+    """What ``counted`` has of the shingles that any page's copy lacks and that are no furniture: all that the flags ask for."""
+    return keep(S.frequencies(tokens, n=cfg.n).where((F.col("lost_df") > 0) & checkable(cfg)), "lost")
+
+
+def changed(tokens: DataFrame) -> DataFrame:
+    """Pages whose copy has other tokens than the source, as a table of its own; no other page lacks anything."""
+    return keep(tokens.where(F.col("md").isNotNull()), "changed")
 
 
 def checkable(cfg: AuditConfig) -> Column:
@@ -38,12 +54,13 @@ def checkable(cfg: AuditConfig) -> Column:
     return (F.col("ref_df") <= cfg.max_df) | (F.col("md_df") >= cfg.content_min_df)
 
 
-def missing_windows(tokens: DataFrame, df: DataFrame, cfg: AuditConfig = AUDIT) -> DataFrame:
-    """``(page_key, pos, h)``: windows of the source that are no page furniture and that the page's copy doesn't have.
+def missing_windows(pages: DataFrame, df: DataFrame, cfg: AuditConfig = AUDIT) -> DataFrame:
+    """``(page_key, pos, h)``: windows of the source that are no page furniture and that the page's copy doesn't have. ``pages`` are tokens, at least the changed ones.
 
     What a page's copy lacks is found inside its row, so only pages that lack something are exploded, and only their distinct
     missing windows meet the frequencies."""
-    lacking = tokens.where(F.size("ref.tokens") >= cfg.n).select("page_key", F.col("ref.h").alias("all"), F.array_except("ref.h", "md.h").alias("gone")).where(F.size("gone") > 0)
+    both = pages.where(F.col("md").isNotNull() & (F.size("ref") >= cfg.n)).select("page_key", X.shingle_hashes(F.col("ref"), cfg.n).alias("all"), X.shingle_hashes(F.col("md"), cfg.n).alias("own"))
+    lacking = keep(both.select("page_key", "all", F.array_except("all", "own").alias("gone")).where(F.size("gone") > 0), "lacking")
     gone = lacking.select("page_key", F.explode("gone").alias("h")).join(df.where(checkable(cfg)).select("h"), "h", "left_semi")
     each = lacking.select("page_key", F.posexplode("all").alias("p", "h")).select("page_key", F.col("p").cast("bigint").alias("pos"), "h")
     return each.join(gone, ["page_key", "h"], "left_semi").select("page_key", "pos", "h")
@@ -56,25 +73,26 @@ def missing_runs(missing: DataFrame, cfg: AuditConfig = AUDIT) -> DataFrame:
     return r.where(F.col("windows") >= cfg.run).select("page_key", "start", "windows")
 
 
-def short_pages(tokens: DataFrame, df: DataFrame, cfg: AuditConfig = AUDIT) -> DataFrame:
-    """``(page_key, quote)`` of non-empty pages under ``n`` tokens, no furniture, whose tokens the copy doesn't have in sequence."""
-    s = tokens.where((F.size("ref.tokens") > 0) & (F.size("ref.tokens") < cfg.n)).where(~X.contains_run(F.col("md.tokens"), F.col("ref.tokens")))
-    s = s.select("page_key", "ref.tokens", F.col("ref.h")[0].alias("h")).join(df.where(checkable(cfg)).select("h"), "h", "left_semi")
-    return s.select("page_key", clip(F.array_join("tokens", " ")).alias("quote"))
+def short_pages(pages: DataFrame, df: DataFrame, cfg: AuditConfig = AUDIT) -> DataFrame:
+    """``(page_key, quote)`` of non-empty pages under ``n`` tokens, no furniture, whose tokens the copy doesn't have in sequence. ``pages`` are tokens, at least the changed ones."""
+    s = pages.where(F.col("md").isNotNull() & (F.size("ref") > 0) & (F.size("ref") < cfg.n)).where(~X.contains_run(F.col("md"), F.col("ref")))
+    s = s.select("page_key", "ref", X.shingle_hashes(F.col("ref"), cfg.n)[0].alias("h")).join(df.where(checkable(cfg)).select("h"), "h", "left_semi")
+    return s.select("page_key", clip(F.array_join("ref", " ")).alias("quote"))
 
 
-def quotes(runs: DataFrame, tokens: DataFrame, cfg: AuditConfig = AUDIT) -> DataFrame:
-    """``(page_key, start, quote)`` of each page's first ``max_quotes`` runs: the source tokens that the run's windows cover."""
+def quotes(runs: DataFrame, pages: DataFrame, cfg: AuditConfig = AUDIT) -> DataFrame:
+    """``(page_key, start, quote)`` of each page's first ``max_quotes`` runs: the source tokens that the run's windows cover. ``pages`` are tokens, at least the changed ones."""
     w = Window.partitionBy("page_key").orderBy("start")
     first = runs.withColumn("k", F.row_number().over(w)).where(F.col("k") <= cfg.max_quotes)
-    j = first.join(tokens.select("page_key", "ref.tokens"), "page_key")
-    span = F.slice("tokens", F.col("start").cast("int") + 1, F.col("windows").cast("int") + cfg.n - 1)
+    j = first.join(pages.where(F.col("md").isNotNull()).select("page_key", "ref"), "page_key")
+    span = F.slice("ref", F.col("start").cast("int") + 1, F.col("windows").cast("int") + cfg.n - 1)
     return j.select("page_key", "start", clip(F.array_join(span, " ")).alias("quote"))
 
 
 def sizes(tokens: DataFrame) -> DataFrame:
-    """``(page_key, section, source_rel, ref_tokens, md_tokens)``, the last two as numbers."""
-    return tokens.select("page_key", "section", "source_rel", F.size("ref.tokens").cast("bigint").alias("ref_tokens"), F.size("md.tokens").cast("bigint").alias("md_tokens"))
+    """``(page_key, section, source_rel, ref_tokens, md_tokens)``, the last two as numbers, as a table of its own: none of the texts goes further."""
+    md = F.size(F.coalesce("md", "ref")).cast("bigint")
+    return keep(tokens.select("page_key", "section", "source_rel", F.size("ref").cast("bigint").alias("ref_tokens"), md.alias("md_tokens")), "sizes")
 
 
 def section_medians(size: DataFrame, cfg: AuditConfig = AUDIT) -> DataFrame:
@@ -95,14 +113,15 @@ def flags(tokens: DataFrame, df: DataFrame, cfg: AuditConfig = AUDIT) -> DataFra
     """A row for each suspicious page: spans and windows that are missing, samples of them, and the ratio tiers.
 
     ``missing_shingle_count`` counts every missing window of a page with a run, runs too short to count included."""
-    gone = keep(missing_windows(tokens, df, cfg), "missing")
+    pages = changed(tokens)
+    gone = keep(missing_windows(pages, df, cfg), "missing")
     runs = missing_runs(gone, cfg)
     spans = runs.groupBy("page_key").agg(F.count("*").alias("missing_span_count"))
     total = gone.groupBy("page_key").agg(F.count("*").alias("missing_shingle_count"))
-    samples = quotes(runs, tokens, cfg).groupBy("page_key").agg(F.array_sort(F.collect_list(F.struct("start", "quote"))).alias("q"))
+    samples = quotes(runs, pages, cfg).groupBy("page_key").agg(F.array_sort(F.collect_list(F.struct("start", "quote"))).alias("q"))
     lost = spans.join(total, "page_key").join(samples, "page_key", "left").select("page_key", "missing_span_count", "missing_shingle_count", F.col("q.quote").alias("missing_text_samples"))
     one = F.lit(1).cast("bigint")
-    brief = short_pages(tokens, df, cfg).select("page_key", one.alias("missing_span_count"), one.alias("missing_shingle_count"), F.array("quote").alias("missing_text_samples"))
+    brief = short_pages(pages, df, cfg).select("page_key", one.alias("missing_span_count"), one.alias("missing_shingle_count"), F.array("quote").alias("missing_text_samples"))
     size = sizes(tokens)
     ratio = ratio_outliers(size, cfg).select("page_key", "ratio_outlier", "ratio_gated")
     hit = lost.unionByName(brief).join(ratio, "page_key", "full_outer")
@@ -197,8 +216,8 @@ def run(pages: DataFrame, cfg: AuditConfig = AUDIT, baseline: Baseline | None =
     if baseline is not None and (why := baseline.mismatch(cfg)):
         raise ValueError(f"baseline was made with other thresholds: {why}")
     base = baseline.pages if baseline is not None else spark.createDataFrame([], "page_key string, missing_spans bigint, missing_shingles bigint, md_tokens bigint")
-    tokens = tokenized(pages, cfg)
-    df = counted(tokens)
+    tokens = tokenized(pages)
+    df = counted(tokens, cfg)
     found = keep(apply_baseline(flags(tokens, df, cfg), base), "flags")
     count = tokens.count()
     shrunk = page_shrink(baseline.page_count, count) if baseline is not None else 0
